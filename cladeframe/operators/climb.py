@@ -46,14 +46,8 @@ def _start(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _advance(
-    moving: DataFrame, reached: DataFrame, arrays: Sequence[str], shrink: bool = False
-) -> DataFrame:
-    """Join every moving row to the node it points at and take over its stretch.
-
-    `shrink` cuts a stretch where it first repeats itself, which only chains that
-    run into a cycle do; from there on they hold nothing new.
-    """
+def _advance(moving: DataFrame, reached: DataFrame, arrays: Sequence[str]) -> DataFrame:
+    """Join every moving row to the node it points at and take over its stretch."""
     columns = moving.columns
     target = reached.select(
         *[F.col(c).alias(f"_{c}") for c in ("taxid", "jump", "top", "top_name", "gap", *arrays)]
@@ -61,13 +55,8 @@ def _advance(
     joined = lookup(moving, target, "jump", "_taxid", staged=True)
     missing = F.col("_taxid").isNull()
 
-    def both(name: str) -> Column:
-        return F.concat(name, F.coalesce(f"_{name}", F.slice(name, 1, 0)))
-
     def stretch(name: str) -> Column:
-        if not shrink:
-            return both(name)
-        return F.slice(both(name), F.lit(1), F.size(F.array_distinct(both(arrays[0]))))
+        return F.concat(name, F.coalesce(f"_{name}", F.slice(name, 1, 0)))
 
     step = {
         "jump": F.col("_jump"),
@@ -79,43 +68,54 @@ def _advance(
     return joined.select(*[step.get(c, F.col(c)).alias(c) for c in columns])
 
 
-def climb(nodes: DataFrame, arrays: Sequence[str]) -> DataFrame:
+def climb(nodes: DataFrame, arrays: Sequence[str], laps: int = 1) -> DataFrame:
     """Close the tree: every node with its arrays concatenated from itself to the top.
 
-    nodes   one row per taxid: taxid, name, parent, `is_parent`, and the `arrays`,
+    nodes   staged, one row per taxid: taxid, name, parent, `is_parent`, and the `arrays`,
             each holding what the node itself contributes. They are parallel, and
             the first one holds taxids.
+    laps    how many times a chain that runs into a cycle goes round it.
 
     Adds `top` and `top_name` (the self-parent node ending the chain), `gap` (the
     missing id at which a chain breaks) and `status`: top, unresolved or cycle.
     Depth is not limited: in a forest each round finishes at least one node, so
-    nodes left over by a round that finished none sit on or below a cycle.
+    nodes left over by a round that finished none sit on or below a cycle. Those go
+    on until no stretch meets a new node, and then for the laps asked for.
     """
     spark = nodes.sparkSession
     folder = fresh_path(spark)
+    state = _start(nodes.where("is_parent"))
     round_no = 0
-    state = stage(_start(nodes.where("is_parent")), f"{folder}/0")
-    left = state.where("jump is not null").count()
-    cyclic, covered = False, -1
-    while left:
-        moving = state.where("jump is not null")
-        resting = state.where("jump is null")
+
+    def advance(state: DataFrame) -> DataFrame:
+        nonlocal round_no
+        moved = _advance(state.where("jump is not null"), state, arrays)
+        done = state.where("jump is null").unionByName(moved)
         round_no += 1
-        state = stage(
-            resting.unionByName(_advance(moving, state, arrays, shrink=cyclic)),
-            f"{folder}/{round_no}",
-        )
-        remove(spark, f"{folder}/{round_no - 1}")
-        moving = state.where("jump is not null")
-        if not cyclic:
-            before, left = left, moving.count()
-            cyclic = left == before
-        else:
-            before, covered = covered, moving.agg(F.sum(F.size(arrays[0]))).first()[0]
-            if covered == before:
-                break
-    leaves = _start(nodes.where("not is_parent"))
-    closed = state.unionByName(_advance(leaves, state, arrays, shrink=cyclic))
+        staged = stage(done, f"{folder}/{round_no}")
+        if round_no > 1:
+            remove(spark, f"{folder}/{round_no - 1}")
+        return staged
+
+    def unfinished(state: DataFrame) -> int:
+        return state.where("jump is not null").count()
+
+    def covered(state: DataFrame) -> int:
+        met = F.sum(F.size(F.array_distinct(arrays[0])))
+        return state.where("jump is not null").agg(met).first()[0]
+
+    left, before = unfinished(state), -1
+    while left and left != before:
+        state = advance(state)
+        left, before = unfinished(state), left
+    if left:
+        met, before = covered(state), -1
+        while met != before:
+            state = advance(state)
+            met, before = covered(state), met
+        for _ in range((laps - 1).bit_length()):
+            state = advance(state)
+    closed = state.unionByName(_advance(_start(nodes.where("not is_parent")), state, arrays))
     return closed.withColumn(
         "status",
         F.when(F.col("top").isNotNull(), TOP)

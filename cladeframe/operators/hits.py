@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chomp, field, is_accession, strip
+from ..functions.text import field, is_accession, strip
 
 TOO_FEW_COLUMNS = "too_few_columns"
 PATTERN_MISS = "pattern_miss"
@@ -14,16 +14,20 @@ PATTERN_MISS = "pattern_miss"
 def parse_hits(lines: DataFrame, sep: str = "\t", col: int = 3) -> DataFrame:
     """Pull the accession out of every line: line, acc_ver, reject_reason.
 
-    `lines` has one string column. `col` counts from 0. `reject_reason` is null
-    exactly where `acc_ver` is not.
+    `lines` has one string column and no line ends inside. `col` counts from 0.
+    `reject_reason` is null exactly where `acc_ver` is not.
     """
     line = F.col(lines.columns[0])
-    found = lines.select(line.alias("line"), field(chomp(line), sep, col).alias("_field"))
-    return found.select("line", "_field", strip(F.col("_field")).alias("_text")).select(
+    # Step by step, so that each line is split and matched once.
+    found = lines.select(line.alias("line"), field(line, sep, col).alias("_field"))
+    text = found.withColumn("_text", strip(F.col("_field")))
+    matched = text.withColumn("acc_ver", F.when(is_accession(F.col("_text")), F.col("_text")))
+    return matched.select(
         "line",
-        F.when(is_accession(F.col("_text")), F.col("_text")).alias("acc_ver"),
-        F.when(F.col("_field").isNull(), TOO_FEW_COLUMNS)
-        .when(~is_accession(F.col("_text")), PATTERN_MISS)
+        "acc_ver",
+        F.when(F.col("acc_ver").isNotNull(), F.lit(None))
+        .when(F.col("_field").isNull(), TOO_FEW_COLUMNS)
+        .otherwise(PATTERN_MISS)
         .alias("reject_reason"),
     )
 
@@ -43,6 +47,10 @@ def hit_counters(parsed: DataFrame) -> DataFrame:
 
 
 def accession_frequency(parsed: DataFrame) -> DataFrame:
-    """Hits per accepted accession: acc_ver, freq."""
-    accepted = parsed.where(F.col("acc_ver").isNotNull())
-    return accepted.groupBy("acc_ver").agg(F.count(F.lit(1)).alias("freq"))
+    """Hits per accepted accession: acc_ver, freq.
+
+    Rejects are dropped after the aggregation, where they are one row per task; a
+    filter in front of it would make Spark match every line a second time.
+    """
+    counted = parsed.groupBy("acc_ver").agg(F.count("acc_ver").alias("freq"))
+    return counted.where(F.col("freq") > 0)

@@ -84,6 +84,13 @@ def narrow(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table
 
 
+def attach(keys: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """Left join of two staged tables that both have one row per `key`; no key is hot."""
+    if within_broadcast(dim):
+        return keys.join(F.broadcast(dim), key, "left")
+    return keys.join(narrow(dim, keys, key), key, "left")
+
+
 def first_k(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
     """The `k` smallest `order` values of each `key`, as rows (key, order).
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ladder
 from ..schemas import (
+    CYCLE,
     FOUND,
     INVALID_LABEL,
     NO_RANK,
@@ -31,10 +32,9 @@ class Taxonomy:
     """
 
     def __init__(self, tree: DataFrame):
-        nodes = unique_nodes(tree)
-        parents = nodes.select(F.col("parent").alias("_parent")).distinct()
+        parents = tree.select(F.col("parent").alias("_parent")).distinct()
         self.nodes = stage(
-            nodes.join(parents, F.col("taxid") == F.col("_parent"), "left").select(
+            unique_nodes(tree).join(parents, F.col("taxid") == F.col("_parent"), "left").select(
                 "taxid", "name", "parent", "rank", F.col("_parent").isNotNull().alias("is_parent")
             )
         )
@@ -61,14 +61,23 @@ class Taxonomy:
                     "names": own(F.col("name")),
                 }
             ).drop("_level")
-            self._ladders[ranks] = stage(climb(start, ["ids", "levels", "names"]))
+            # From each rank's answer to the next, a cycle may have to be passed again.
+            self._ladders[ranks] = stage(climb(start, ["ids", "levels", "names"], len(ranks)))
         return self._ladders[ranks]
 
     def paths(self) -> DataFrame:
-        """Every node with `path`, the taxids from itself to the end of its chain."""
+        """Every node with `path`, the taxids from itself to the end of its chain.
+
+        A chain that runs into a cycle ends before the first taxid it would repeat.
+        """
         if self._paths is None:
             start = self.nodes.drop("rank").withColumn("path", F.array("taxid"))
-            self._paths = stage(climb(start, ["path"]).select("taxid", "path", "gap", "status"))
+            once = F.when(F.col("status") == CYCLE, F.array_distinct("path")).otherwise(
+                F.col("path")
+            )
+            self._paths = stage(
+                climb(start, ["path"]).select("taxid", once.alias("path"), "gap", "status")
+            )
         return self._paths
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ladder
 from ..schemas import LEVELS, NO_RANK, RANKS, UNKNOWN_NAME
-from .joins import narrow
+from .joins import attach
 from .lineage import Taxonomy, as_taxonomy
 from .staging import stage
 
@@ -27,18 +27,20 @@ def _cascade(resolved: DataFrame, tree: DataFrame | Taxonomy) -> DataFrame:
     """One row per taxid hit, with its tally and its answer at every rank."""
     tally = stage(taxid_tally(resolved))
     closed = as_taxonomy(tree).ladders(RANKS)
-    found = tally.join(narrow(closed, tally, "taxid"), "taxid", "left")
+    found = attach(tally, closed, "taxid")
     answers = {}
     for k in range(1, len(RANKS) + 1):
         answers[f"id_{k}"] = ladder.answer_id(k)
         answers[f"label_{k}"] = ladder.answer_label(k)
-    return ladder.with_positions(found, RANKS, ladder.CASCADE).select(
-        F.col("taxid").alias("id_0"),
-        F.coalesce("name", F.lit(UNKNOWN_NAME)).alias("label_0"),
-        F.coalesce("rank", F.lit(NO_RANK)).alias("mapped_rank"),
-        "tally",
-        "n_children",
-        *[expr.alias(name) for name, expr in answers.items()],
+    return stage(
+        ladder.with_positions(found, RANKS, ladder.CASCADE).select(
+            F.col("taxid").alias("id_0"),
+            F.coalesce("name", F.lit(UNKNOWN_NAME)).alias("label_0"),
+            F.coalesce("rank", F.lit(NO_RANK)).alias("mapped_rank"),
+            "tally",
+            "n_children",
+            *[expr.alias(name) for name, expr in answers.items()],
+        )
     )
 
 

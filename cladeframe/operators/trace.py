@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ladder
 from ..schemas import NO_RANK, RANKS
-from .joins import lookup, narrow
+from .joins import lookup
 from .lineage import Taxonomy, as_taxonomy
 from .staging import stage
 
@@ -42,10 +42,11 @@ def trace_table(
     `cascade` looks each rank up from the previous rank's answer, `direct` from the
     seed. Names are the tree's own; the top of the chain stands in where a rank is
     missing, and (-1, unknown) where the chain is broken. Both sides of the join
-    have unique keys, so no key can be hot.
+    are staged, so Spark broadcasts either if it is small, and have unique keys, so
+    no key is hot if neither is.
     """
     wanted = stage(seeds.select("taxid").where(F.col("taxid").isNotNull()).distinct())
-    closed = narrow(as_taxonomy(tree).ladders(ranks), wanted, "taxid").join(wanted, "taxid")
+    closed = as_taxonomy(tree).ladders(ranks).join(wanted, "taxid")
     columns = [F.col(c) for c in ("taxid", "name", "parent", "rank")]
     for k, rank in enumerate(ranks, 1):
         columns.append(ladder.answer_id(k).alias(f"{rank}_taxid"))
