@@ -36,12 +36,13 @@ def unique_nodes(tree: DataFrame) -> DataFrame:
 def _start(nodes: DataFrame) -> DataFrame:
     """State before the first round: each node has covered only itself."""
     is_top = F.col("taxid") == F.col("parent")
+    named = {"top_name": F.when(is_top, F.col("name"))} if "name" in nodes.columns else {}
     return nodes.withColumns(
         {
             "jump": F.when(~is_top, F.col("parent")),
             "top": F.when(is_top, F.col("taxid")),
-            "top_name": F.when(is_top, F.col("name")),
             "gap": F.lit(None).cast("bigint"),
+            **named,
         }
     )
 
@@ -49,9 +50,8 @@ def _start(nodes: DataFrame) -> DataFrame:
 def _advance(moving: DataFrame, reached: DataFrame, arrays: Sequence[str]) -> DataFrame:
     """Join every moving row to the node it points at and take over its stretch."""
     columns = moving.columns
-    target = reached.select(
-        *[F.col(c).alias(f"_{c}") for c in ("taxid", "jump", "top", "top_name", "gap", *arrays)]
-    )
+    taken = [c for c in ("jump", "top", "top_name", "gap", *arrays) if c in columns]
+    target = reached.select(*[F.col(c).alias(f"_{c}") for c in ("taxid", *taken)])
     joined = lookup(moving, target, "jump", "_taxid", staged=True)
     missing = F.col("_taxid").isNull()
 
@@ -71,13 +71,15 @@ def _advance(moving: DataFrame, reached: DataFrame, arrays: Sequence[str]) -> Da
 def climb(nodes: DataFrame, arrays: Sequence[str], laps: int = 1) -> DataFrame:
     """Close the tree: every node with its arrays concatenated from itself to the top.
 
-    nodes   staged, one row per taxid: taxid, name, parent, `is_parent`, and the `arrays`,
-            each holding what the node itself contributes. They are parallel, and
-            the first one holds taxids.
-    laps    how many times a chain that runs into a cycle goes round it.
+    nodes   staged, one row per taxid: taxid, parent, `is_parent`, possibly name and
+            more, and the `arrays`, each holding what the node itself contributes.
+            They are parallel, and the first one holds taxids.
+    laps    how many times a chain that runs into a cycle goes round it; with one,
+            it stops short of the first taxid it would repeat.
 
-    Adds `top` and `top_name` (the self-parent node ending the chain), `gap` (the
-    missing id at which a chain breaks) and `status`: top, unresolved or cycle.
+    Returns a staged table with, in addition, `top` (the self-parent node ending the
+    chain), its `top_name` where names are given, `gap` (the missing id at which a
+    chain breaks) and `status`: top, unresolved or cycle.
     Depth is not limited: in a forest each round finishes at least one node, so
     nodes left over by a round that finished none sit on or below a cycle. Those go
     on until no stretch meets a new node, and then for the laps asked for.
@@ -116,9 +118,16 @@ def climb(nodes: DataFrame, arrays: Sequence[str], laps: int = 1) -> DataFrame:
         for _ in range((laps - 1).bit_length()):
             state = advance(state)
     closed = state.unionByName(_advance(_start(nodes.where("not is_parent")), state, arrays))
-    return closed.withColumn(
-        "status",
+    status = (
         F.when(F.col("top").isNotNull(), TOP)
         .when(F.col("gap").isNotNull(), UNRESOLVED)
-        .otherwise(CYCLE),
-    ).drop("jump", "is_parent")
+        .otherwise(CYCLE)
+    )
+    closed = closed.withColumn("status", status).drop("jump", "is_parent")
+    if left and laps == 1:
+        once = F.size(F.array_distinct(arrays[0]))
+        closed = closed.withColumns({c: F.slice(c, F.lit(1), once) for c in arrays})
+    closed = stage(closed)
+    if round_no:
+        remove(spark, f"{folder}/{round_no}")
+    return closed

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import ladder
 from ..schemas import (
-    CYCLE,
     FOUND,
     INVALID_LABEL,
     NO_RANK,
@@ -62,7 +61,7 @@ class Taxonomy:
                 }
             ).drop("_level")
             # From each rank's answer to the next, a cycle may have to be passed again.
-            self._ladders[ranks] = stage(climb(start, ["ids", "levels", "names"], len(ranks)))
+            self._ladders[ranks] = climb(start, ["ids", "levels", "names"], len(ranks))
         return self._ladders[ranks]
 
     def paths(self) -> DataFrame:
@@ -71,13 +70,8 @@ class Taxonomy:
         A chain that runs into a cycle ends before the first taxid it would repeat.
         """
         if self._paths is None:
-            start = self.nodes.drop("rank").withColumn("path", F.array("taxid"))
-            once = F.when(F.col("status") == CYCLE, F.array_distinct("path")).otherwise(
-                F.col("path")
-            )
-            self._paths = stage(
-                climb(start, ["path"]).select("taxid", once.alias("path"), "gap", "status")
-            )
+            start = self.nodes.select("taxid", "parent", "is_parent", F.array("taxid").alias("path"))
+            self._paths = climb(start, ["path"])
         return self._paths
 
 
