@@ -47,22 +47,25 @@ def _start(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _advance(moving: DataFrame, reached: DataFrame, arrays: Sequence[str]) -> DataFrame:
-    """Join every moving row to the node it points at and take over its stretch."""
-    columns = moving.columns
+def _advance(rows: DataFrame, reached: DataFrame, arrays: Sequence[str]) -> DataFrame:
+    """Join every unfinished row to the node it points at and take over its stretch.
+
+    Finished rows have no pointer, so they meet nothing and stay as they are.
+    """
+    columns = rows.columns
     taken = [c for c in ("jump", "top", "top_name", "gap", *arrays) if c in columns]
     target = reached.select(*[F.col(c).alias(f"_{c}") for c in ("taxid", *taken)])
-    joined = lookup(moving, target, "jump", "_taxid", staged=True)
-    missing = F.col("_taxid").isNull()
+    joined = lookup(rows, target, "jump", "_taxid", staged=True)
 
     def stretch(name: str) -> Column:
         return F.concat(name, F.coalesce(f"_{name}", F.slice(name, 1, 0)))
 
+    missing = F.when(F.col("_taxid").isNull(), F.col("jump"))
     step = {
         "jump": F.col("_jump"),
-        "top": F.col("_top"),
-        "top_name": F.col("_top_name"),
-        "gap": F.when(missing, F.col("jump")).otherwise(F.col("_gap")),
+        "top": F.coalesce("top", "_top"),
+        "gap": F.coalesce("gap", missing, "_gap"),
+        **({"top_name": F.coalesce("top_name", "_top_name")} if "top_name" in columns else {}),
         **{name: stretch(name) for name in arrays},
     }
     return joined.select(*[step.get(c, F.col(c)).alias(c) for c in columns])
@@ -86,17 +89,14 @@ def climb(nodes: DataFrame, arrays: Sequence[str], laps: int = 1) -> DataFrame:
     """
     spark = nodes.sparkSession
     folder = fresh_path(spark)
-    state = _start(nodes.where("is_parent"))
+    state = stage(_start(nodes.where("is_parent")), f"{folder}/0")
     round_no = 0
 
     def advance(state: DataFrame) -> DataFrame:
         nonlocal round_no
-        moved = _advance(state.where("jump is not null"), state, arrays)
-        done = state.where("jump is null").unionByName(moved)
         round_no += 1
-        staged = stage(done, f"{folder}/{round_no}")
-        if round_no > 1:
-            remove(spark, f"{folder}/{round_no - 1}")
+        staged = stage(_advance(state, state, arrays), f"{folder}/{round_no}")
+        remove(spark, f"{folder}/{round_no - 1}")
         return staged
 
     def unfinished(state: DataFrame) -> int:
@@ -128,6 +128,5 @@ def climb(nodes: DataFrame, arrays: Sequence[str], laps: int = 1) -> DataFrame:
         once = F.size(F.array_distinct(arrays[0]))
         closed = closed.withColumns({c: F.slice(c, F.lit(1), once) for c in arrays})
     closed = stage(closed)
-    if round_no:
-        remove(spark, f"{folder}/{round_no}")
+    remove(spark, f"{folder}/{round_no}")
     return closed

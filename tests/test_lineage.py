@@ -4,7 +4,7 @@ import random
 
 import pytest
 from conftest import MAP, TREE, rows
-from reference_climb import Walker
+from plain_walk import Walker
 
 import cladeframe as cf
 from cladeframe.schemas import RANKS

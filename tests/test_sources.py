@@ -7,6 +7,7 @@ import xxhash
 from conftest import MAP, TREE, rows
 
 import cladeframe as cf
+from cladeframe.schemas import ACCESSION_MAP
 
 TREE_ROWS = [
     (1, "root", 1, "no rank"),
@@ -39,6 +40,7 @@ def test_accession_files(spark, tmp_path):
         out.write(header + "B2\tB2.3\t6\t11\n")
     found = cf.read_accession_map(spark, [str(tmp_path / "a"), str(tmp_path / "b.gz")])
     assert rows(found) == [("A1", "A1.1", 5, 10), ("B2", "B2.3", 6, 11), ('Q"', 'Q".1', 6, None)]
+    assert found.schema.simpleString() == ACCESSION_MAP.simpleString()
 
 
 def test_accession_stores(spark, tmp_path):
