@@ -132,6 +132,36 @@ def test_shared_folder_setting(spark):
     assert shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
+def test_cluster_needs_a_shared_folder():
+    """Only a local master may stage tables in a folder of its own machine."""
+    from types import SimpleNamespace
+
+    from cladeframe.operators.staging import shared_folder
+
+    def session(master, folder=None):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default: folder),
+            sparkContext=SimpleNamespace(applicationId="app-1", master=master),
+        )
+
+    with pytest.raises(RuntimeError):
+        shared_folder(session("yarn"))
+    assert shared_folder(session("yarn", "hdfs://x/y/")) == "hdfs://x/y/cladeframe/app-1"
+    assert shared_folder(session("local[2]")) == shared_folder(session("local[2]"))
+
+
+def test_stage_and_remove(spark):
+    from cladeframe.operators.staging import fresh_path, remove, within_broadcast
+
+    path = fresh_path(spark)
+    staged = cf.stage(spark.range(10), path)
+    assert rows(staged) == [(i,) for i in range(10)]
+    assert within_broadcast(staged)
+    remove(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path)
+
+
 def test_read_hits(spark, tmp_path):
     (tmp_path / "hits").write_text("r1|1|ref|NC_1.1|\r\nr2|x\n")
     parsed = cf.parse_hits(cf.read_hits(spark, str(tmp_path / "hits")), "|", 3)
