@@ -23,7 +23,13 @@ from .operators.lookups import (
     taxid_by_name,
 )
 from .operators.quality import key_collisions, key_hash
-from .operators.report import report, report_html_rows, report_lines, running_totals
+from .operators.report import (
+    report,
+    report_html_rows,
+    report_lines,
+    report_summary,
+    running_totals,
+)
 from .operators.rollup import rank_rollup, rollup_children, taxid_tally
 from .operators.staging import clear, stage
 from .operators.trace import (

@@ -23,6 +23,14 @@ HTML_ROW = (
     "<TR><TD>%8d</TD><TD>%8.4f %%</TD><TD>%s</TD>"
     "<TD><A HREF='http://www.ncbi.nlm.nih.gov/Taxonomy/Browser/wwwtax.cgi?id=%s'>\t%s</A></TD></TR>"
 )
+SUMMARY_ROW = "<TR><TD>%s</TD><TD>%s</TD></TR>"
+SUMMARY_TITLES = (
+    "Job Name:             ",
+    "Job Desc:             ",
+    "Unique Acc.V Count:   ",
+    "Total rows processed: ",
+    "Rejected rows:        ",
+)
 NAME_WIDTH = 60
 TAXID_WIDTH = 7
 
@@ -158,3 +166,25 @@ def report_html_rows(reported: DataFrame) -> DataFrame:
             pad_left(F.col("taxid").cast("string"), TAXID_WIDTH),
         ).alias("html"),
     )
+
+
+def report_summary(counters: DataFrame, job_name: str, job_desc: str) -> DataFrame:
+    """What a report rests on, as HTML table rows: line_no, html.
+
+    counters: the one row of `hit_counters`. Accepted rows show thousands separators.
+    """
+    values = (
+        F.lit(job_name),
+        F.lit(job_desc),
+        F.col("unique_accessions").cast("string"),
+        F.format_number("accepted_rows", 0),
+        F.col("rejected_rows").cast("string"),
+    )
+    rows = [
+        F.struct(
+            F.lit(place).cast("bigint").alias("line_no"),
+            F.format_string(SUMMARY_ROW, F.lit(title), value).alias("html"),
+        )
+        for place, (title, value) in enumerate(zip(SUMMARY_TITLES, values), 1)
+    ]
+    return counters.select(F.inline(F.array(*rows)))

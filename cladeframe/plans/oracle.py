@@ -314,6 +314,13 @@ ORACLE: dict[str, str] = {
   printf('<TR><TD>%8d</TD><TD>%8.4f %%</TD><TD>%s</TD><TD>', tally, percentage, display)
     || '<A HREF=''http://www.ncbi.nlm.nih.gov/Taxonomy/Browser/wwwtax.cgi?id=' || taxid || '''>'
     || chr(9) || taxid_text || '</A></TD></TR>' AS html FROM shown""",
+        "report_summary": """SELECT line_no, '<TR><TD>' || rpad(title, 22, ' ') || '</TD><TD>' || shown
+    || '</TD></TR>' AS html
+  FROM (SELECT CAST(1 AS BIGINT) AS line_no, 'Job Name:' AS title, 'sales' AS shown
+    UNION ALL SELECT 2, 'Job Desc:', 'orders as taxa'
+    UNION ALL SELECT 3, 'Unique Acc.V Count:', CAST(count(DISTINCT acc_ver) AS VARCHAR) FROM parsed
+    UNION ALL SELECT 4, 'Total rows processed:', format('{:,}', count(acc_ver)) FROM parsed
+    UNION ALL SELECT 5, 'Rejected rows:', CAST(count(*) - count(acc_ver) AS VARCHAR) FROM parsed)""",
         "key_collisions": """SELECT acc_ver, count(*) AS n_rows FROM acc_taxid
   GROUP BY acc_ver HAVING count(*) > 1""",
     }.items()

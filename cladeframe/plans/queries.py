@@ -277,6 +277,10 @@ def report_html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cf.report_html_rows(report(spark, sf_dir))
 
 
+def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cf.report_summary(hit_counters(spark, sf_dir), "sales", "orders as taxa")
+
+
 def key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = derived.acc_taxid(spark, sf_dir).selectExpr(
         "concat_ws('\t', acc, acc_ver, taxid, gi) AS line"
@@ -330,6 +334,7 @@ QUERIES: dict[str, Query] = {
     "report": report,
     "report_lines": report_lines,
     "report_html_rows": report_html_rows,
+    "report_summary": report_summary,
     "key_hash": key_hash,
     "key_collisions": key_collisions,
 }

@@ -138,3 +138,17 @@ def test_duplicate_map_rows_change_nothing(spark):
     mapped = [("AB_1", "AB_1.1", 9, 0), ("AB_1", "AB_1.1", 4, 0), ("AB_2", "AB_2.1", 7, 0)] * 3
     found = cf.resolve_accessions(keys, spark.createDataFrame(mapped, MAP))
     assert rows(found) == [("AB_1.1", 5, 4), ("AB_2.1", 3, 7), ("AB_3.1", 2, -1)]
+
+
+def test_summary(spark):
+    counters = spark.createDataFrame(
+        [(12, 1234567, 8)], "unique_accessions bigint, accepted_rows bigint, rejected_rows bigint"
+    )
+    found = rows(cf.report_summary(counters, "job", "first 100% of it"))
+    assert found == [
+        (1, "<TR><TD>Job Name:             </TD><TD>job</TD></TR>"),
+        (2, "<TR><TD>Job Desc:             </TD><TD>first 100% of it</TD></TR>"),
+        (3, "<TR><TD>Unique Acc.V Count:   </TD><TD>12</TD></TR>"),
+        (4, "<TR><TD>Total rows processed: </TD><TD>1,234,567</TD></TR>"),
+        (5, "<TR><TD>Rejected rows:        </TD><TD>8</TD></TR>"),
+    ]
