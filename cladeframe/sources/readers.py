@@ -5,6 +5,7 @@ Every reader takes one path or several, files or folders, compressed or not.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,8 +118,7 @@ def hash_input(lines: DataFrame, sep: str = "\t") -> DataFrame:
 
     Header lines and lines with fewer fields are dropped.
     """
-    quoted = "".join(f"\\{c}" if not c.isalnum() else c for c in sep)
-    parts = lines.select(F.split(chomp(F.col(lines.columns[0])), quoted).alias("_f"))
+    parts = lines.select(F.split(chomp(F.col(lines.columns[0])), re.escape(sep)).alias("_f"))
     kept = parts.where((F.size("_f") >= 4) & (F.get("_f", F.lit(0)) != HEADER_WORD))
     return kept.select(
         *[F.get("_f", F.lit(i)).alias(c) for i, c in enumerate(("acc", "acc_ver", "taxid"))]
