@@ -3,20 +3,65 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language, quality, toxicity
 from .mixing import mix
+from .words import crc_fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; the bar is 0.3."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = quality.with_quality(docs.select("doc_id", "text"), quality.train_quality(docs, labels))
+    return scored.select(
+        "doc_id",
+        (crc_fold(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    found = language.with_language(docs.select("doc_id", "text"), language.train_language(docs))
+    return found.select(
+        "doc_id",
+        (crc_fold(F.col("doc_id"), language.FOLDS) == language.HELD_OUT).alias("held_out"),
+        "lang_pred",
+        "score",
+        "ambiguous",
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of each document."""
     mixed = mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; the bar is 0.5, and the calibrated one of its language."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train_toxicity(docs, labels)
+    scored = toxicity.with_toxicity(docs.select("doc_id", "text", "lang"), model)
+    return scored.select(
+        "doc_id",
+        (crc_fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        toxicity.toxicity_threshold(model, F.col("lang")).alias("threshold"),
+    )
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op5_language_id": op5_language_id,
     "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
 }
