@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from . import language, quality, toxicity
 from .mixing import mix
+from .near_vectors import near_vectors
+from .set_join import set_join
 from .words import crc_fold
 
 
@@ -26,6 +28,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose sets of five-word shingles are alike."""
+    return set_join(_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -39,6 +46,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of equal label."""
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of each document."""
     mixed = mix(_table(spark, sf_dir, "documents"))
@@ -61,7 +73,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_set_join": op3_set_join,
     "op5_language_id": op5_language_id,
+    "op6_near_vectors": op6_near_vectors,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
 }
