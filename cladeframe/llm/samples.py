@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import crc_fold
@@ -37,14 +37,28 @@ def labelled(
         .groupBy("doc_id")
         .agg(F.min(label).cast("int").alias("label"))
     )
-    joined = docs.select("doc_id", "text", *columns).join(known, "doc_id")
-    usable = joined.where(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST_TEXT)
+    usable = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST_TEXT)
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    ticket = F.xxhash64(F.lit(SEED), "doc_id")
-    parts = [usable.where(F.col("label") == c).orderBy(ticket, "text").limit(per_class) for c in (0, 1)]
-    frame = parts[0].unionByName(parts[1]).toPandas()
+    frame = fetched(docs, pick(usable.select("doc_id").join(known, "doc_id"), "label", per_class), columns)
     n = sum(counts.values())
-    return frame, counts.get(1, 0) / n if n else 0.5
+    return frame.rename(columns={"_class": "label"}), counts.get(1, 0) / n if n else 0.5
+
+
+def pick(rows: DataFrame, group: str, most: int) -> dict:
+    """For each `group` the `most` ids with the smallest seeded hash: {doc_id: group}.
+
+    Ids only; every task first cuts its own rows down to the limit.
+    """
+    first = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id")
+    ranked = rows.select("doc_id", group).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= most)
+    return {r["doc_id"]: r[group] for r in ranked.collect()}
+
+
+def fetched(docs: DataFrame, picked: dict, columns: tuple[str, ...] = ()):
+    """The texts of the picked ids as a pandas frame in order of id, with their group as `_class`."""
+    rows = docs.where(F.col("doc_id").isin(list(picked))).select("doc_id", "text", *columns).toPandas()
+    rows = rows.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
+    return rows.assign(_class=rows["doc_id"].map(picked))
 
 
 def class_weights(y: np.ndarray, share: float) -> np.ndarray:
