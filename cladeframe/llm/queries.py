@@ -9,6 +9,7 @@ from . import language, quality, toxicity
 from .mixing import mix
 from .near_vectors import near_vectors
 from .set_join import set_join
+from .substrings import dedup_substrings
 from .words import crc_fold
 
 
@@ -71,6 +72,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document when repeated windows of 50 words are removed."""
+    cut = dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_set_join": op3_set_join,
@@ -78,4 +85,5 @@ QUERIES = {
     "op6_near_vectors": op6_near_vectors,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
+    "op10_substrings": op10_substrings,
 }
