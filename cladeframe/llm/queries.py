@@ -10,6 +10,7 @@ from .mixing import mix
 from .near_vectors import near_vectors
 from .set_join import set_join
 from .substrings import dedup_substrings
+from .suffixes import dedup_bytes
 from .words import crc_fold
 
 
@@ -52,6 +53,12 @@ def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every document when repeated 100-byte strings are removed."""
+    cut = dedup_bytes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of each document."""
     mixed = mix(_table(spark, sf_dir, "documents"))
@@ -83,6 +90,7 @@ QUERIES = {
     "op3_set_join": op3_set_join,
     "op5_language_id": op5_language_id,
     "op6_near_vectors": op6_near_vectors,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_substrings": op10_substrings,
