@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, quality, toxicity
+from .decontamination import contaminated
 from .mixing import mix
 from .near_vectors import near_vectors
 from .set_join import set_join
@@ -30,6 +31,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose sets of five-word shingles are alike."""
     return set_join(_table(spark, sf_dir, "documents"))
@@ -87,6 +93,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_decontamination": op2_decontamination,
     "op3_set_join": op3_set_join,
     "op5_language_id": op5_language_id,
     "op6_near_vectors": op6_near_vectors,
