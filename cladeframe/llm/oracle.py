@@ -2,4 +2,15 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+ORACLE: dict[str, str] = {
+    "word_token_counts": f"""
+        SELECT source, lang, 'words@1' AS tokenizer,
+               CAST(sum(CASE WHEN toxic THEN 0 ELSE {_WORDS} END) AS BIGINT) AS tokens,
+               CAST(sum(CASE WHEN toxic THEN 0 ELSE 1 END) AS BIGINT) AS docs
+        FROM (SELECT d.*, d.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic
+              FROM documents d)
+        GROUP BY source, lang
+    """,
+}

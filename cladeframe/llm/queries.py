@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import fresh_path
 from . import language, quality, toxicity
 from .decontamination import contaminated
 from .mixing import mix
@@ -12,7 +13,8 @@ from .near_vectors import near_vectors
 from .set_join import set_join
 from .substrings import dedup_substrings
 from .suffixes import dedup_bytes
-from .words import crc_fold
+from .token_counts import TokenRollup, inserted, with_bpe_count, with_word_count
+from .words import GAP, crc_fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,34 @@ def op3_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join(_table(spark, sf_dir, "documents"))
 
 
+def _token_totals(spark: SparkSession, sf_dir: str, count, tokenizer: str) -> DataFrame:
+    """Totals after three batches, the last of them sent twice.
+
+    All documents come in; then those with runs of white space are counted again with each
+    run taken as one space; then those labelled toxic go.
+    """
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    rollup = TokenRollup(spark, fresh_path(spark))
+    rollup.commit(0, inserted(count(docs), tokenizer))
+    tidy = docs.where(F.col("text").rlike(GAP.replace("+", "{2,}"))).withColumn("text", F.regexp_replace("text", GAP, " "))
+    rollup.commit(1, inserted(count(tidy), tokenizer, "revise"))
+    bad = labels.where("toxic = 1").select("doc_id").distinct()
+    gone = docs.join(bad, "doc_id").withColumn("tokens", F.lit(0))
+    for _ in range(2):
+        rollup.commit(2, inserted(gone, tokenizer, "delete"))
+    return rollup.totals()
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of a public byte-level BPE by source and language, kept by deltas."""
+    return _token_totals(spark, sf_dir, with_bpe_count, "byte_bpe_50k@1")
+
+
+def word_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with words for tokens, which SQL can count."""
+    return _token_totals(spark, sf_dir, with_word_count, "words@1")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -95,6 +125,8 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
     "op3_set_join": op3_set_join,
+    "op4_token_counts": op4_token_counts,
+    "word_token_counts": word_token_counts,
     "op5_language_id": op5_language_id,
     "op6_near_vectors": op6_near_vectors,
     "op7_suffix_dedup": op7_suffix_dedup,
