@@ -1,24 +1,63 @@
-"""A corpus pipeline: five stages, each a DataFrame of documents made from the one before."""
+"""A corpus pipeline: five stages, each a DataFrame of documents made from the one before.
+
+Every stage works on all rows that its predecessor kept. All but the last return the
+columns of documents; the last adds how many words the mix takes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cladeframe.llm.decontamination import decontaminate
 from cladeframe.llm.mixing import mix
+from cladeframe.llm.set_join import set_join
+from cladeframe.llm.suffixes import dedup_bytes
+from cladeframe.llm.toxicity import toxicity_threshold, train_toxicity, with_toxicity
 from cladeframe.operators.staging import stage
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold of their language."""
+    model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = with_toxicity(docs, model, "_toxicity")
+    return scored.where(F.col("_toxicity") < toxicity_threshold(model, F.col("lang"))).drop("_toxicity")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents with alike shingle sets the one with the smallest id."""
+    others = set_join(docs).where("not kept").select(F.col("doc_id").alias("_other"))
+    return docs.join(others, F.col("doc_id") == F.col("_other"), "left_anti")
+
+
+def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 100-byte strings that occur earlier."""
+    cut = dedup_bytes(docs).withColumn(
+        "text", F.when(F.col("text").isNotNull(), F.make_valid_utf8(F.col("kept").cast("string")))
+    )
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the words it takes of each."""
+    """Documents that the mix takes, with the words it takes of each, repeats counted."""
     taken = mix(docs).where("taken > 0").select("doc_id", "size", "source_size", "target", "taken")
     return docs.join(taken, "doc_id")
 
 
 STAGES = [
+    ("toxicity", toxicity),
+    ("near_copies", near_copies),
+    ("repeated_bytes", repeated_bytes),
+    ("benchmark_free", benchmark_free),
     ("mixing", mixing),
 ]
 
-# Learned models and hashes have no SQL twin; each stage is tested against brute force.
+# Learned models and sketches have no SQL twin; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
