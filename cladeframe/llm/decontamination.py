@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.staging import stage
+from .selecting import named
 from .words import plain_words
 
 WORDS = 5
@@ -147,7 +148,8 @@ def _matches(docs: DataFrame, items: DataFrame, n: int, least: float, radius: in
     )
     wanted = stage(windows.groupBy("doc_id").agg(F.collect_list(F.struct("size", "start")).alias("at")))
     cut = (
-        texts.join(wanted, "doc_id")
+        named(texts, wanted.select("doc_id"))
+        .join(wanted, "doc_id")
         .select("doc_id", _ngrams(plain_words(F.col("text")), n).alias("grams"), "at")
         .select("doc_id", "grams", F.explode("at").alias("at"))
         .select(

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ..operators.staging import stage
 from .components import cells, components, in_cells, local_roots
 from .samples import flat_lists
+from .selecting import named
 from .words import word_array
 
 WORDS = 5
@@ -197,10 +198,10 @@ def set_join(
         .agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
     )
     sets = stage(
-        digests.withColumnRenamed("doc_id", "id")
+        digests.select(F.col("doc_id").alias("id"), "print", "size", "sketch")
         .join(classes, ["print", "id"])
         .dropDuplicates(["id"])
-        .select("id", "size", "copies", "sketch", "levels", "befores", "paths")
+        .select("id", "size", "copies", "sketch")
     )
     bar = similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / SKETCH)
 
@@ -217,29 +218,27 @@ def set_join(
         return pa.table({"a": ids[hit], "b": local_roots(linked[hit][:, hit], ids[hit])})
 
     walk = F.arrays_zip("levels", "befores", "paths")
+    reps = sets.select("id")
     candidates, large = None, None
     for level in range(1, LEVELS + 1):
         step = (
-            sets.select("id", "size", "sketch", F.explode(walk).alias("w"))
+            digests.select(F.col("doc_id").alias("id"), F.explode(walk).alias("w"))
             .where(F.col("w.levels") == level)
-            .select("id", "size", "sketch", F.col("w.befores").alias("before"), F.col("w.paths").alias("path"))
+            .select("id", F.col("w.befores").alias("before"), F.col("w.paths").alias("path"))
         )
         if large is not None:
             step = step.join(large, "before", "left_semi")
-        step = stage(step.drop("before") if level == LEVELS else step)
-        sizes = step.groupBy("path").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        if level < LEVELS:
-            sizes = stage(sizes)
-            large = sizes.where(F.col("_n") > small_bucket).select(F.col("path").alias("before"))
-            small = step.join(sizes.where(F.col("_n") <= small_bucket).select("path"), "path", "left_semi")
-        else:
-            small = step
+        step = stage(step.join(reps, "id", "left_semi").select("id", "path").distinct())
+        sizes = stage(step.groupBy("path").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+        met = sizes if level == LEVELS else sizes.where(F.col("_n") <= small_bucket)
+        large = sizes.where(F.col("_n") > small_bucket).select(F.col("path").alias("before"))
+        small = step.join(met.select("path"), "path", "left_semi").join(sets, "id")
         dealt = cells(small.select("id", "size", "sketch", "path"), F.col("path"), "id", F.lit(1), block_sets)
-        pairs = in_cells(dealt, by_sketch, "a bigint, b bigint")
+        pairs = stage(in_cells(dealt, by_sketch, "a bigint, b bigint").where("a <> b").distinct())
         candidates = pairs if candidates is None else candidates.unionByName(pairs)
-        if level < LEVELS and large.isEmpty():
+        if large.isEmpty():
             break
-    groups = components(candidates.where("a <> b").distinct())
+    groups = stage(components(candidates))
 
     def exact(cell: pa.Table) -> pa.Table:
         ids = np.asarray(cell.column("id"))
@@ -264,8 +263,8 @@ def set_join(
         return pa.table({"a": ids[hit], "b": root, "links": (linked @ copies)[hit]})
 
     grouped = groups.join(sets.select("id", "size", "copies"), "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-    full = grouped.join(texts, "id").dropDuplicates(["id"])
+    texts = named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), groups.select(F.col("id").alias("doc_id")))
+    full = grouped.join(texts.withColumnRenamed("doc_id", "id"), "id").dropDuplicates(["id"])
     dealt = cells(
         full.select("id", "copies", "size", "component", _word_hashes(F.col("text")).alias("words")),
         F.col("component"),

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ..operators.staging import stage
 from .anchors import anchor_places, repeated, rolled
 from .samples import flat_lists
+from .selecting import beside, named
 from .words import word_array
 
 WINDOW = 50
@@ -186,7 +187,8 @@ def _open_windows(docs: DataFrame, unsettled: DataFrame, window: int) -> DataFra
                     ["h", "g", "doc_id", "start"],
                 )
 
-    joined = _hashed_words(docs).join(places, "doc_id")
+    places = stage(places)
+    joined = _hashed_words(named(docs, places.select("doc_id"))).join(places, "doc_id")
     return joined.select("doc_id", "words", F.col("places.start"), F.col("places.n")).mapInArrow(
         run, "h bigint, g bigint, doc_id bigint, start int"
     )
@@ -208,7 +210,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cell
 
 def _cover(spans: DataFrame) -> DataFrame:
     """All spans of a document as two arrays; no longer than the document is."""
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
+    return stage(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_spans")))
 
 
 def dedup_substrings(
@@ -239,7 +241,7 @@ def dedup_substrings(
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(removed, pa.int64())], ["text", "removed"])
 
     words = word_array(F.col("text"))
-    whole = docs.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    whole = beside(docs, spans)
     return (
         whole.withColumn("n_words", F.size(words).cast("long"))
         .withColumn("_cut", F.when(F.col("_spans").isNotNull(), cut(words, F.coalesce("_spans", F.array().cast("array<struct<start:int,n:int>>")))))

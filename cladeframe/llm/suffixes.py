@@ -9,8 +9,9 @@ its windows reach are its context. Where all occurrences of an anchor have one c
 all but the first are settled. The suffixes of the others are dealt by range, at splitters
 that Spark samples, by their leading bytes; each range is sorted by multikey quicksort,
 and longest common prefixes to the right and to the left of the anchors tell which windows
-are equal. An anchor's suffixes may continue in the next range: the first and the last
-anchor of a range are compared across boundaries, window by window.
+are equal. Suffixes of one anchor stay in one range, but for anchors in very many contexts:
+theirs are dealt by all their bytes, and what is first in its range is compared across
+boundaries, window by window.
 
 Defined results: texts are taken as UTF-8, null as empty; a document shorter than a window
 loses nothing; doc_id is expected to be unique, and rows that repeat one must repeat the
@@ -30,9 +31,12 @@ from pyspark.sql import functions as F
 from ..operators.staging import stage
 from .anchors import anchor_places, repeated, rolled, scramble
 from .samples import flat_bytes, flat_lists
+from .selecting import beside, named, unnamed
 
 WINDOW = 100
 GRAM = 32
+# An anchor in more contexts than this has several ranges.
+RANGE_ROWS = 1 << 14
 # Below this many rows a range is sorted by all its keys at once.
 SMALL_SORT = 64
 
@@ -90,6 +94,7 @@ def _suffixes(docs: DataFrame, firsts: DataFrame, window: int, gram: int) -> Dat
             ids = np.asarray(batch.column(0))
             flat, starts = flat_bytes(batch.column(1))
             places, edges = flat_lists(batch.column(2))
+            wide, _ = flat_lists(batch.column(3))
             doc = np.repeat(np.arange(len(ids)), np.diff(edges))
             for lo in range(0, len(places), 20_000):
                 part = slice(lo, lo + 20_000)
@@ -102,13 +107,16 @@ def _suffixes(docs: DataFrame, firsts: DataFrame, window: int, gram: int) -> Dat
                         pa.array(left, pa.binary()),
                         pa.array(ids[doc[part]]),
                         pa.array(places[part].astype(np.int32)),
+                        pa.array(wide[part].astype(bool)),
                     ],
-                    ["right", "left", "doc_id", "place"],
+                    ["right", "left", "doc_id", "place", "wide"],
                 )
 
-    wanted = firsts.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    joined = docs.join(wanted, "doc_id").select("doc_id", "text", "places")
-    return joined.mapInArrow(run, "right binary, left binary, doc_id bigint, place int")
+    wanted = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("place", "wide")).alias("at"))
+    wanted = stage(wanted)
+    joined = named(docs, wanted.select("doc_id")).join(wanted, "doc_id")
+    rows = joined.select("doc_id", "text", "at.place", F.col("at.wide").cast("array<int>").alias("wide"))
+    return rows.mapInArrow(run, "right binary, left binary, doc_id bigint, place int, wide boolean")
 
 
 def _padded(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +158,11 @@ def _common(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def _resolve(right, left, doc, place, window: int, gram: int):
-    """Window starts of each row that occur earlier in another: (row, first start, count)."""
+def _late(right, left, doc, place, window: int, gram: int) -> np.ndarray:
+    """For each row, by how far a window begins before the anchor: is it later than another?
+
+    One empty column on each side; windows that a row does not have are False.
+    """
     after, n_after = _padded(right, window)
     before, n_before = _padded(left, window - gram)
     by_after, by_before = multikey_quicksort(after), multikey_quicksort(before)
@@ -169,27 +180,33 @@ def _resolve(right, left, doc, place, window: int, gram: int):
         first = np.unique((key + side)[rows], return_index=True)[1]
         late[rows, back + 1] = True
         late[rows[first], back + 1] = False
+    return late
+
+
+def _runs(late: np.ndarray, place: np.ndarray):
+    """Runs of late windows: (row, first start, count)."""
     change = np.diff(late.astype(np.int8), axis=1)
     row, low = np.nonzero(change == 1)
     high = np.nonzero(change == -1)[1]
     return row, place[row] - (high - 1), high - low
 
 
-def _windows(right, left, doc, place, window: int):
-    """All windows of boundary rows, hashed: (h, g, doc_id, start)."""
+def _first_windows(right, left, doc, place, late, window: int):
+    """Windows that are not late among their range's, hashed: (h, g, doc_id, start)."""
     out: list[list] = [[], [], [], []]
-    for r, lf, d, p in zip(right, left, doc, place, strict=True):
+    for r, lf, d, p, gone in zip(right, left, doc, place, late, strict=True):
         context = np.frombuffer(lf[::-1] + r, np.uint8)
-        h = rolled(context, window, 2)
-        out[0].append(h.view(np.int64))
-        out[1].append(rolled(context, window, 5).view(np.int64))
-        out[2].append(np.full(len(h), d))
-        out[3].append(p - len(lf) + np.arange(len(h)))
+        h, g = rolled(context, window, 2), rolled(context, window, 5)
+        open_ = np.flatnonzero(~gone[1:-1][len(lf) - np.arange(len(h))])
+        out[0].append(h[open_].view(np.int64))
+        out[1].append(g[open_].view(np.int64))
+        out[2].append(np.full(len(open_), d))
+        out[3].append(p - len(lf) + open_)
     return [np.concatenate(x) for x in out]
 
 
-def _compared(suffixes: DataFrame, window: int, gram: int) -> DataFrame:
-    """Late windows within each range, and the windows of its first and last anchor."""
+def _compared(ranged: DataFrame, window: int, gram: int, border: bool) -> DataFrame:
+    """Late windows of each range; with `border` also the windows that are first in it."""
     kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
     names = ["border", "h", "g", "doc_id", "start", "n"]
 
@@ -200,25 +217,19 @@ def _compared(suffixes: DataFrame, window: int, gram: int) -> DataFrame:
         table = pa.Table.from_batches(held)
         right, left = (table.column(c).to_pylist() for c in ("right", "left"))
         doc, place = (np.asarray(table.column(c)) for c in ("doc_id", "place"))
-        heads = [r[:gram] for r in right]
-        ends = {min(heads), max(heads)}
-        border = np.array([h in ends for h in heads])
-        inner, outer = np.flatnonzero(~border), np.flatnonzero(border)
-        if len(inner):
-            row, start, n = _resolve(
-                [right[i] for i in inner], [left[i] for i in inner], doc[inner], place[inner], window, gram
-            )
-            zero = np.zeros(len(row), np.int64)
-            values = (zero > 0, zero, zero, doc[inner][row], start, n)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names)
-        for a in range(0, len(outer), 2_000):
-            own = outer[a : a + 2_000]
-            h, g, d, s = _windows([right[i] for i in own], [left[i] for i in own], doc[own], place[own], window)
+        late = _late(right, left, doc, place, window, gram)
+        row, start, n = _runs(late, place)
+        zero = np.zeros(len(row), np.int64)
+        values = (zero > 0, zero, zero, doc[row], start, n)
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names)
+        for a in range(0, len(right) if border else 0, 2_000):
+            own = slice(a, a + 2_000)
+            h, g, d, s = _first_windows(right[own], left[own], doc[own], place[own], late[own], window)
             values = (np.ones(len(h), bool), h, g, d, s, np.ones(len(h), np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names)
 
-    ranged = suffixes.repartitionByRange("right", "doc_id", "place")
-    return ranged.mapInArrow(run, "border boolean, h bigint, g bigint, doc_id bigint, start int, n int")
+    rows = ranged.select("right", "left", "doc_id", "place")
+    return rows.mapInArrow(run, "border boolean, h bigint, g bigint, doc_id bigint, start int, n int")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -230,14 +241,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         texts.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"),
                      F.octet_length("text").alias("size"))
     )
-    originals = prints.groupBy("h", "g", "size").agg(F.min("doc_id").alias("first"))
-    judged = prints.join(originals, ["h", "g", "size"])
-    copies = judged.where("first < doc_id").select(
-        "doc_id", F.lit(0).alias("start"), (F.col("size") - window + 1).alias("n")
+    earliest = prints.groupBy("h", "g", "size").agg(F.min("doc_id").alias("first"))
+    judged = prints.join(earliest, ["h", "g", "size"])
+    copies = stage(
+        judged.where("first < doc_id").select(
+            "doc_id", F.lit(0).alias("start"), (F.col("size") - window + 1).alias("n")
+        )
     )
-    kept = stage(judged.where("first = doc_id").select("doc_id").distinct())
-    distinct = texts.join(kept, "doc_id", "left_semi")
-    anchors = stage(_anchors(distinct, window, gram))
+    originals = unnamed(texts, copies.select("doc_id"))
+    anchors = stage(_anchors(originals, window, gram))
 
     def reach(rows: DataFrame) -> DataFrame:
         return rows.select(
@@ -252,11 +264,18 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     firsts = open_.groupBy("gram", "context").agg(
         F.min("doc_id").alias("_doc"), F.min_by("place", "doc_id").alias("_place")
     )
+    firsts = stage(firsts)
     later = open_.join(firsts, ["gram", "context"]).where("doc_id > _doc")
-    suffixes = _suffixes(
-        texts, stage(firsts.select(F.col("_doc").alias("doc_id"), F.col("_place").alias("place"))), window, gram
+    many = firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > RANGE_ROWS)
+    places = firsts.join(many, "gram", "left").select(
+        F.col("_doc").alias("doc_id"), F.col("_place").alias("place"), F.col("_n").isNotNull().alias("wide")
+    )
+    suffixes = stage(_suffixes(texts, stage(places), window, gram))
+    narrow = suffixes.where("not wide").repartitionByRange(F.substring("right", 1, gram))
+    wide = suffixes.where("wide").repartitionByRange("right", "doc_id", "place")
+    compared = stage(
+        _compared(narrow, window, gram, False).unionByName(_compared(wide, window, gram, True))
     )
-    compared = stage(_compared(stage(suffixes), window, gram))
     border = compared.where("border").groupBy("h", "g", "doc_id", "start").agg(F.max("n").alias("n"))
     earliest = (
         border.groupBy("h", "g", "doc_id")
@@ -276,11 +295,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Add n_bytes, n_removed, n_spans (maximal removed runs) and `kept` (the bytes left)."""
-    spans = (
+    spans = stage(
         repeated_windows(docs, window, gram)
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
-        .withColumnRenamed("doc_id", "_id")
     )
 
     @F.arrow_udf("struct<kept: binary, removed: bigint, spans: bigint>")
@@ -302,7 +320,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
         arrays = [pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
         return pa.StructArray.from_arrays(arrays, ["kept", "removed", "spans"])
 
-    whole = docs.join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    whole = beside(docs, spans)
     none = F.array().cast("array<struct<start:int,n:int>>")
     return (
         whole.withColumn("_cut", F.when(F.col("_spans").isNotNull(), cut("text", F.coalesce("_spans", none))))
