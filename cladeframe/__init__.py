@@ -28,10 +28,9 @@ from .operators.report import (
     report_html_rows,
     report_lines,
     report_summary,
-    running_totals,
 )
 from .operators.rollup import rank_rollup, rollup_children, taxid_tally
-from .operators.staging import clear, stage
+from .operators.staging import clear, scope, stage
 from .operators.trace import (
     accessions_per_taxid,
     annotate_hits,
@@ -44,6 +43,7 @@ from .operators.trace import (
     trace_table,
 )
 from .sources.readers import (
+    accession_rejects,
     build_tree,
     hash_input,
     read_accession_map,
@@ -52,6 +52,7 @@ from .sources.readers import (
     read_nodes,
     read_trace,
     read_tree,
+    tree_rejects,
 )
 from .sources.writers import (
     register,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import CYCLE, NO_RANK, TOP, UNKNOWN_ID, UNKNOWN_NAME, UNRESOLVED
 from .joins import lookup
-from .staging import fresh_path, remove, stage
+from .staging import derived, fresh_path, remove, stage
 
 
 def unique_nodes(tree: DataFrame) -> DataFrame:
@@ -54,7 +54,9 @@ def _advance(rows: DataFrame, reached: DataFrame, arrays: Sequence[str]) -> Data
     """
     columns = rows.columns
     taken = [c for c in ("jump", "top", "top_name", "gap", *arrays) if c in columns]
-    target = reached.select(*[F.col(c).alias(f"_{c}") for c in ("taxid", *taken)])
+    target = derived(
+        reached.select(*[F.col(c).alias(f"_{c}") for c in ("taxid", *taken)]), reached
+    )
     joined = lookup(rows, target, "jump", "_taxid", staged=True)
 
     def stretch(name: str) -> Column:

@@ -5,32 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage, within_broadcast
-
-# At most this many keys are treated as hot, so the table that serves them has at
-# most this many rows; all other keys take the shuffle join.
-MAX_HOT_KEYS = 64
-# Counters in the sketch that looks for hot keys; a key above 1/1000 of the rows
-# cannot escape it.
-SKETCH_ITEMS = 4096
-# A key is hot when it alone outweighs this many rows ...
+from .staging import counted, derived, stage, threshold, within_broadcast
+
+# A key that has fewer rows than this is harmless in one task, whatever its share.
 HOT_ROWS = 1_000_000
-# ... and this share of the table.
-HOT_SHARE = 0.001
+# A key is hot when it alone has more than one part in so many of a mean shuffle partition.
+HOT_PARTS = 4
+# Most items a sketch can hold.
+MOST_ITEMS = 1_000_000
 
 
 def hot_keys(df: DataFrame, key: str) -> list:
-    """Keys of `df` heavy enough to unbalance a shuffle; at most MAX_HOT_KEYS.
+    """All keys of `df` heavy enough to unbalance a shuffle.
 
-    One mergeable sketch per task and no shuffle of rows. Which keys come back only
-    decides how a row is joined, never what it is joined to.
+    The bar follows the rows of a mean shuffle partition, so no more than HOT_PARTS times
+    the number of partitions can be above it, and the sketch is made for that many. One
+    mergeable sketch per task and no shuffle of rows. Which keys come back only decides
+    how a row is joined, never what it is joined to.
     """
+    most = HOT_PARTS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    items = min(MOST_ITEMS, max(4096, 16 * most))
     found = df.where(F.col(key).isNotNull()).agg(
-        F.expr(f"approx_top_k(`{key}`, {MAX_HOT_KEYS}, {SKETCH_ITEMS})").alias("top"),
+        F.expr(f"approx_top_k(`{key}`, {min(most, items)}, {items})").alias("top"),
         F.count(F.lit(1)).alias("n"),
     )
     row = found.first()
-    bar = max(HOT_ROWS, row["n"] * HOT_SHARE)
+    bar = max(HOT_ROWS, row["n"] / most)
     return [item["item"] for item in (row["top"] or []) if item["count"] > bar]
 
 
@@ -45,9 +45,9 @@ def lookup(
     """Join `facts` to `dim`, which has one row per `dim_key`.
 
     `how` is 'left' or 'inner'. Column names of the two sides must differ.
-    A `dim` of proven small size is broadcast. Otherwise rows with a hot key meet a
-    broadcast of just those keys' rows, and the rest are shuffled. `staged` says
-    that `facts` is cheap to read twice; else it is staged first.
+    A `dim` of proven small size is broadcast. Otherwise rows with a hot key meet
+    those keys' rows apart from the rest, which are shuffled. `staged` says that
+    `facts` is cheap to read twice; else it is staged first.
     """
     on = F.col(facts_key) == F.col(dim_key)
     if within_broadcast(dim):
@@ -60,16 +60,30 @@ def lookup(
 def split_join(
     facts: DataFrame, dim: DataFrame, facts_key: str, dim_key: str, how: str, hot: list
 ) -> DataFrame:
-    """The same join in two parts: `hot` and null keys without a shuffle, the rest with."""
+    """The same join in parts: null keys alone, `hot` keys, and the rest by a shuffle.
+
+    The rows of hot keys are one per key; they are broadcast if their number times the
+    widest row of `dim` is within the limit, and else repeated for every salt, so that
+    a hot key is dealt to many tasks.
+    """
     on = F.col(facts_key) == F.col(dim_key)
     key = F.col(facts_key)
     apart = key.isNull() | key.isin(hot) if hot else key.isNull()
-    served = dim.where(F.col(dim_key).isin(hot)) if hot else dim.where(F.lit(False))
-    return (
-        facts.where(apart)
-        .join(F.broadcast(served), on, how)
-        .unionByName(facts.where(~apart).join(dim, on, how))
-    )
+    rest = facts.where(~apart).join(dim.hint("merge"), on, how)
+    none = dim.where(F.lit(False))
+    if how == "left":
+        rest = rest.unionByName(facts.where(key.isNull()).join(F.broadcast(none), on, how))
+    if not hot:
+        return rest
+    own, served = facts.where(key.isin(hot)), dim.where(F.col(dim_key).isin(hot))
+    known = counted(dim)
+    if known is not None and known.widest_row * len(hot) <= threshold(facts.sparkSession):
+        return rest.unionByName(own.join(F.broadcast(served), on, how))
+    salts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = own.withColumn("_salt", F.pmod(F.xxhash64(*own.columns), F.lit(salts)).cast("int"))
+    repeated = served.withColumn("_of_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    both = salted.join(repeated.hint("merge"), on & (F.col("_salt") == F.col("_of_salt")), how)
+    return rest.unionByName(both.drop("_salt", "_of_salt"))
 
 
 def narrow(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -78,7 +92,7 @@ def narrow(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     Only ever a saving ahead of a join on the same key: the result may still hold
     other rows when `keys` is too large to broadcast.
     """
-    wanted = keys.select(key)
+    wanted = derived(keys.select(key), keys)
     if within_broadcast(wanted):
         return table.join(F.broadcast(wanted), key, "left_semi")
     return table
@@ -94,21 +108,17 @@ def attach(keys: DataFrame, dim: DataFrame, key: str) -> DataFrame:
 def first_k(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
     """The `k` smallest `order` values of each `key`, as rows (key, order).
 
-    `order` is unique within a key. A hot key is cut down in many small groups
-    before any task sees it whole.
+    `order` is unique within a key.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     if k == 1:
         return df.groupBy(key).agg(F.min(order).alias(order))
-    slot = F.pmod(F.xxhash64(order), F.lit(64))
-    partial = Window.partitionBy(key, "_slot").orderBy(order)
-    final = Window.partitionBy(key).orderBy(order)
+    # Spark cuts every task's rows of a key down to k before it shuffles them.
+    first = Window.partitionBy(key).orderBy(order)
     return (
-        df.select(key, order, slot.alias("_slot"))
-        .withColumn("_n", F.row_number().over(partial))
-        .where(F.col("_n") <= k)
-        .withColumn("_n", F.row_number().over(final))
+        df.select(key, order)
+        .withColumn("_n", F.row_number().over(first))
         .where(F.col("_n") <= k)
         .select(key, order)
     )

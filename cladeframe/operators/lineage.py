@@ -21,7 +21,7 @@ from ..schemas import (
 )
 from .climb import climb, unique_nodes
 from .joins import first_k, lookup
-from .staging import stage
+from .staging import derived, stage, within_broadcast
 
 
 class Taxonomy:
@@ -82,12 +82,14 @@ def as_taxonomy(tree: DataFrame | Taxonomy) -> Taxonomy:
 
 def _keyed(dim: DataFrame) -> DataFrame:
     """Rename the key of a lookup table so that it does not clash with the facts'."""
-    return dim.withColumnRenamed("taxid", "_id")
+    return derived(dim.withColumnRenamed("taxid", "_id"), dim)
 
 
 def _with_ladders(keys: DataFrame, tree: DataFrame | Taxonomy, ranks: Sequence[str]) -> DataFrame:
     closed = as_taxonomy(tree).ladders(ranks)
-    wanted = closed.select("taxid", "ids", "levels", "names", "top", "top_name", "gap", "status")
+    wanted = derived(
+        closed.select("taxid", "ids", "levels", "names", "top", "top_name", "gap", "status"), closed
+    )
     found = lookup(keys, _keyed(wanted), "taxid", "_id").drop("_id")
     return ladder.with_positions(found, ranks, ladder.DIRECT)
 
@@ -175,8 +177,11 @@ def lineage(keys: DataFrame, tree: DataFrame | Taxonomy) -> DataFrame:
     steps = _full_paths(keys, tree).select(
         *keys.columns, "status", F.posexplode("path").alias("depth", "step_taxid")
     )
-    nodes = tree.nodes.select(
-        F.col("taxid").alias("_id"), F.col("rank").alias("_rank"), F.col("name").alias("_name")
+    nodes = derived(
+        tree.nodes.select(
+            F.col("taxid").alias("_id"), F.col("rank").alias("_rank"), F.col("name").alias("_name")
+        ),
+        tree.nodes,
     )
     return lookup(steps, nodes, "step_taxid", "_id").select(
         *keys.columns,
@@ -200,7 +205,7 @@ def children(
 
     `limit` keeps the smallest ids per key, as asked by the caller.
     """
-    wanted = keys.select(F.col("taxid")).distinct()
+    wanted = stage(keys.select(F.col("taxid")).distinct())
     nodes = as_taxonomy(tree).nodes.select(F.col("taxid").alias("child"), "parent")
     found = lookup(nodes, wanted, "parent", "taxid", "inner", staged=True).select("taxid", "child")
     return found if limit is None else first_k(found, "taxid", "child", limit)
@@ -211,7 +216,7 @@ def descendants(keys: DataFrame, tree: DataFrame | Taxonomy) -> DataFrame:
 
     Every node lists its own ancestors, so the closure needs no further climb.
     """
-    wanted = keys.select(F.col("taxid").alias("_key")).distinct()
+    wanted = stage(keys.select(F.col("taxid").alias("_key")).distinct())
     above = F.concat(
         F.slice("path", F.lit(2), F.size("path")),
         F.when(F.col("gap").isNotNull(), F.array("gap")).otherwise(F.slice("path", 1, 0)),
@@ -221,6 +226,9 @@ def descendants(keys: DataFrame, tree: DataFrame | Taxonomy) -> DataFrame:
         .paths()
         .select(F.col("taxid").alias("descendant"), F.explode(above).alias("taxid"))
     )
+    # Where the keys are not few the pairs are read more than once, so they are written.
+    if not within_broadcast(wanted):
+        pairs = stage(pairs)
     return lookup(pairs, wanted, "taxid", "_key", "inner", staged=True).select(
         "taxid", "descendant"
     )
@@ -231,9 +239,10 @@ def descendant_accessions(
 ) -> DataFrame:
     """All accessions mapped to each distinct key or to anything below it: taxid, acc_ver.
 
-    `acc_map` is a stored table; when the nodes are many it is scanned twice.
+    The map is read once. Copies of a row go before lists are taken apart, so only
+    accessions with several taxids can give a pair twice, and only those are compared.
     """
-    wanted = keys.select("taxid").distinct()
+    wanted = stage(keys.select("taxid").distinct())
     below = descendants(wanted, tree).unionByName(
         wanted.select("taxid", F.col("taxid").alias("descendant"))
     )
@@ -241,12 +250,21 @@ def descendant_accessions(
     owners = stage(
         below.groupBy(F.col("descendant").alias("_id")).agg(F.collect_set("taxid").alias("owners"))
     )
-    mapped = acc_map.select("acc_ver", F.col("taxid").alias("_mapped"))
-    return (
-        lookup(mapped, owners, "_mapped", "_id", "inner", staged=True)
-        .select(F.explode("owners").alias("taxid"), "acc_ver")
-        .distinct()
+    mapped = acc_map.select("acc_ver", F.col("taxid").alias("_mapped")).distinct()
+    per_key = mapped.groupBy("acc_ver").agg(
+        F.min("_mapped").alias("_mapped"), F.max("_mapped").alias("_other")
     )
+    per_key = stage(per_key)
+    single = per_key.where(F.col("_mapped").eqNullSafe(F.col("_other"))).select("acc_ver", "_mapped")
+    several = per_key.where(~F.col("_mapped").eqNullSafe(F.col("_other"))).select("acc_ver")
+
+    def owned(rows: DataFrame) -> DataFrame:
+        found = lookup(rows, owners, "_mapped", "_id", "inner", staged=True)
+        return found.select(F.explode("owners").alias("taxid"), "acc_ver")
+
+    if several.isEmpty():
+        return owned(single)
+    return owned(single).unionByName(owned(mapped.join(several, "acc_ver", "left_semi")).distinct())
 
 
 def parent_hops(tree: DataFrame | Taxonomy, hops: int) -> DataFrame:
@@ -255,10 +273,12 @@ def parent_hops(tree: DataFrame | Taxonomy, hops: int) -> DataFrame:
     Columns taxid_t<i>, name_t<i>, parent_t<i>, rank_t<i> for i = 0..hops. A node
     whose chain has a missing parent within that range drops out.
     """
-    nodes = as_taxonomy(tree).nodes.select("taxid", "name", "parent", "rank")
+    tree = as_taxonomy(tree)
+    nodes = tree.nodes.select("taxid", "name", "parent", "rank")
 
     def at(i: int) -> DataFrame:
-        return nodes.select(*[F.col(c).alias(f"{c}_t{i}") for c in nodes.columns])
+        renamed = nodes.select(*[F.col(c).alias(f"{c}_t{i}") for c in nodes.columns])
+        return derived(renamed, tree.nodes)
 
     out = at(0)
     for i in range(1, hops + 1):

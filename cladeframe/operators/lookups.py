@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..schemas import NO_RANK, UNKNOWN_ID, UNKNOWN_NAME
 from .joins import first_k, lookup, narrow
 from .lineage import Taxonomy, as_taxonomy, children
-from .staging import stage
+from .staging import derived, stage
 
 
 def resolve_accessions(keys: DataFrame, acc_map: DataFrame) -> DataFrame:
@@ -39,9 +39,9 @@ def accver_by_taxid(keys: DataFrame, acc_map: DataFrame) -> DataFrame:
 
 def node_by_taxid(keys: DataFrame, tree: DataFrame | Taxonomy) -> DataFrame:
     """Add name, parent and rank to keys with a column taxid; sentinels where unknown."""
-    nodes = as_taxonomy(tree).nodes.select(
-        F.col("taxid").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("name", "parent", "rank")]
-    )
+    known = as_taxonomy(tree).nodes
+    columns = [F.col(c).alias(f"_{c}") for c in ("name", "parent", "rank")]
+    nodes = derived(known.select(F.col("taxid").alias("_id"), *columns), known)
     return lookup(keys, nodes, "taxid", "_id").select(
         *keys.columns,
         F.coalesce("_name", F.lit(UNKNOWN_NAME)).alias("name"),
@@ -77,7 +77,7 @@ def children_by_name(
     tree = as_taxonomy(tree)
     named = stage(taxid_by_name(keys, tree).where(F.col("taxid") != UNKNOWN_ID))
     found = children(named, tree, limit)
-    names = named.select("name", F.col("taxid").alias("_id"))
+    names = derived(named.select("name", F.col("taxid").alias("_id")), named)
     # A taxid has one name in the tree, so `names` has one row per taxid.
     return lookup(found, names, "taxid", "_id", "inner").select("name", "taxid", "child")
 

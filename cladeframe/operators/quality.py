@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _hash64(text: str) -> Column:
+    """The first 64 bits of a text's MD5, as a signed number; other engines can compute it."""
+    return F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("bigint")
+
+
 def key_hash(acc_map: DataFrame) -> DataFrame:
     """64-bit hashes in place of the text keys: acc_hash, acc_ver_hash, taxid."""
     return acc_map.select(
-        F.xxhash64("acc").alias("acc_hash"), F.xxhash64("acc_ver").alias("acc_ver_hash"), "taxid"
+        _hash64("acc").alias("acc_hash"), _hash64("acc_ver").alias("acc_ver_hash"), "taxid"
     )
 
 

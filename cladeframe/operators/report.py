@@ -14,10 +14,7 @@ from .staging import stage
 # Headings and row layouts of the printed report.
 ACCESSION_HEADING = "           =================== Taxid at Accession.V =================="
 LEVEL_HEADING = "           =================== Rank Level: %s  =================="
-COLUMN_HEADING = (
-    "   count  percentage  Rank name"
-    "                                                         [  taxid  ] (running tally)"
-)
+COLUMN_HEADING = "   count  percentage  Rank name                                                         [  taxid  ] (running tally)"  # noqa: E501
 TEXT_ROW = "%8d  %8.4f %%    %s    [ %s ] ( %11d )"
 HTML_ROW = (
     "<TR><TD>%8d</TD><TD>%8.4f %%</TD><TD>%s</TD>"
@@ -39,15 +36,18 @@ def _level_number(col: str) -> Column:
     return F.array_position(F.array(*[F.lit(level) for level in LEVELS]), F.col(col)) - 1
 
 
-def running_totals(df: DataFrame, group: str, order: Sequence[Column], value: str) -> DataFrame:
-    """Running sum of `value` along `order` in each group, without a task per group.
+def _level_totals(df: DataFrame, order: Sequence[Column], value: str) -> DataFrame:
+    """Running sum of `value` along `order` in each level, without a task per level.
 
-    Adds `running` (sum so far in the group), `line_no` (place in the whole table,
-    groups in ascending order) and `total` (sum of the group). Rows are split into
+    Adds `running` (sum so far in the level), `line_no` (place in the whole table,
+    levels in ascending order) and `total` (sum of the level). Rows are split into
     ranges of the full order; each range is summed by itself and starts from the
-    sums of the ranges before it, of which there are no more than partitions times
-    groups. `order` has no ties within a group.
+    sums of the ranges before it. `_level` takes no more than len(LEVELS) values, so
+    there are at most that many such sums beside one per range: the table of them is
+    as small as the number of partitions, and may be broadcast. `order` has no ties
+    within a level.
     """
+    group = "_level"
     ranged = stage(
         df.repartitionByRange(F.col(group), *order).withColumn("_slice", F.spark_partition_id())
     )
@@ -103,7 +103,7 @@ def report(rollup: DataFrame) -> DataFrame:
         "mapped_rank",
         "tally",
     )
-    return running_totals(leveled, "_level", order, "tally").select(
+    return _level_totals(leveled, order, "tally").select(
         "rank_level",
         "taxid",
         "rank_name",

@@ -1,17 +1,36 @@
 """Cut lineage by writing intermediate tables to the cluster's shared folder.
 
-A staged table survives the loss of any executor, is columnar, and carries its
-true size, so Catalyst chooses join strategies from facts instead of estimates.
+A staged table survives the loss of any executor and is columnar. While it is written,
+its rows and their widths in memory are counted; only that count can prove that a table
+is small enough to be broadcast. Its size on disk proves nothing: it is compressed.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Bytes of a row and of a value that has no fixed width, beside what they hold.
+ROW_BYTES, VALUE_BYTES = 32, 16
+
+
+@dataclass(frozen=True)
+class Counted:
+    """What was counted while a table was written."""
+
+    rows: int
+    total_bytes: int
+    widest_row: int
 
 _local_folders: dict[str, tempfile.TemporaryDirectory] = {}
+_scopes: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,14 +40,15 @@ def shared_folder(spark: SparkSession) -> str:
     which goes away with the process.
     """
     app = spark.sparkContext.applicationId
+    inner = f"/{_scopes[app]}" if app in _scopes else ""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return f"{configured.rstrip('/')}/cladeframe/{app}"
+        return f"{configured.rstrip('/')}/cladeframe/{app}{inner}"
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if app not in _local_folders:
         _local_folders[app] = tempfile.TemporaryDirectory(prefix="cladeframe-")
-    return _local_folders[app].name
+    return _local_folders[app].name + inner
 
 
 def fresh_path(spark: SparkSession) -> str:
@@ -36,12 +56,53 @@ def fresh_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def _width(col: Column, kind: T.DataType) -> Column:
+    """Bytes of a value in memory, from above."""
+    none = F.lit(VALUE_BYTES).cast("long")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + none
+    if isinstance(kind, T.ArrayType):
+        inner = F.aggregate(
+            F.coalesce(col, F.array().cast(kind)), none, lambda sum_, x: sum_ + _width(x, kind.elementType)
+        )
+        if isinstance(kind.elementType, (T.NumericType, T.DateType, T.TimestampType, T.BooleanType)):
+            inner = F.coalesce(F.size(col), F.lit(0)) * 8 + none
+        return inner
+    if isinstance(kind, T.MapType):
+        return _width(F.map_keys(col), T.ArrayType(kind.keyType)) + _width(F.map_values(col), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.StructType):
+        total = none
+        for field in kind.fields:
+            total = total + _width(col[field.name], field.dataType)
+        return total
+    return F.lit(16).cast("long")
+
+
 def stage(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write `df` once and return the written table."""
+    """Write `df` once and return the written table, with its size counted on the way."""
     spark = df.sparkSession
     path = path or fresh_path(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    width = F.lit(ROW_BYTES).cast("long")
+    for field in df.schema.fields:
+        width = width + _width(F.col(f"`{field.name}`"), field.dataType)
+    seen = Observation()
+    df.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.sum(width).alias("total"), F.max(width).alias("widest")
+    ).write.parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._counted = Counted(seen.get["rows"], seen.get["total"] or 0, seen.get["widest"] or 0)
+    return staged
+
+
+def counted(df: DataFrame) -> Counted | None:
+    """What is known of a staged table, or of one `derived` from it."""
+    return getattr(df, "_counted", None)
+
+
+def derived(df: DataFrame, source: DataFrame) -> DataFrame:
+    """Say that `df` holds only rows and columns of `source`, so that its size bounds `df`'s."""
+    df._counted = counted(source)
+    return df
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -55,13 +116,33 @@ def clear(spark: SparkSession) -> None:
     remove(spark, shared_folder(spark))
 
 
+def threshold(spark: SparkSession) -> int:
+    """The session's own limit for broadcasts, in bytes."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def within_broadcast(df: DataFrame) -> bool:
-    """Is `df` provably small enough to be sent to every executor?
+    """Is `df` proven to be small enough to be sent to every executor?
+
+    Only a staged table, or one derived from it, can be: rows and widths were counted.
+    """
+    known = counted(df)
+    return known is not None and known.total_bytes <= threshold(df.sparkSession)
+
 
-    Compares Spark's size statistic (for a staged table its size on disk) with the
-    session's own broadcast threshold.
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged inside the block when it ends, however it ends.
+
+    Results that read staged tables must be saved by then. Scopes do not nest.
     """
-    conf = df.sparkSession._jsparkSession.sessionState().conf()
-    threshold = conf.autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= threshold
+    app = spark.sparkContext.applicationId
+    if app in _scopes:
+        raise RuntimeError("a scope is open already")
+    _scopes[app] = uuid.uuid4().hex
+    folder = shared_folder(spark)
+    try:
+        yield
+    finally:
+        remove(spark, folder)
+        del _scopes[app]

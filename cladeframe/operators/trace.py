@@ -12,7 +12,7 @@ from ..functions import ladder
 from ..schemas import NO_RANK, RANKS
 from .joins import lookup
 from .lineage import Taxonomy, as_taxonomy
-from .staging import stage
+from .staging import derived, stage
 
 
 def distinct_taxids(acc_map: DataFrame) -> DataFrame:
@@ -80,9 +80,8 @@ def annotate_hits(resolved: DataFrame, trace: DataFrame) -> DataFrame:
     """
     trace = stage(trace)
     lineage = [c for c in trace.columns if c != "taxid"]
-    return lookup(resolved, trace.withColumnRenamed("taxid", "_id"), "taxid", "_id").select(
-        *resolved.columns, *lineage
-    )
+    dim = derived(trace.withColumnRenamed("taxid", "_id"), trace)
+    return lookup(resolved, dim, "taxid", "_id").select(*resolved.columns, *lineage)
 
 
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

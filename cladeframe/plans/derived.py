@@ -66,6 +66,37 @@ def acc_taxid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def accession_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of accession files (line, number): the map, and what is odd or wrong in such files."""
+    good = acc_taxid(spark, sf_dir).selectExpr(
+        "concat_ws('\t', acc, concat(acc_ver, ' '), concat(' ', taxid), gi) AS line", "gi AS number"
+    )
+    odd = table(spark, sf_dir, "orders").selectExpr(
+        "CASE o_orderkey % 7"
+        " WHEN 0 THEN concat('\t', 'NF_', o_orderkey, '.1\t', o_orderkey, '\t')"
+        " WHEN 1 THEN concat('accession', o_orderkey, '\tAC_', o_orderkey, '.1\t', o_orderkey, '\tNULL')"
+        " WHEN 2 THEN concat('BT_', o_orderkey, '\tBT_', o_orderkey, '.1\tnone\t1')"
+        " WHEN 3 THEN concat('SH_', o_orderkey, '\tSH_', o_orderkey, '.1\t7')"
+        " WHEN 4 THEN concat('LG_', o_orderkey, '\tLG_', o_orderkey, '.1\t7\t1\textra')"
+        " WHEN 5 THEN concat('BG_', o_orderkey, '\tBG_', o_orderkey, '.1\t7\tx1')"
+        " ELSE concat('accession\tEX_', o_orderkey, '.1\t', o_orderkey, '\t5') END AS line",
+        "o_orderkey AS number",
+    )
+    return good.union(odd)
+
+
+def odd_tree_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tree records that are odd or wrong: line."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "CASE o_orderkey % 5"
+        " WHEN 0 THEN concat(2000000000 + o_orderkey, ',,1,species')"
+        " WHEN 1 THEN concat(o_orderkey, 'x,broken id,1,species')"
+        " WHEN 2 THEN concat(2000000000 + o_orderkey, ',nine,1,species,extra')"
+        " WHEN 3 THEN concat(2000000000 + o_orderkey, ',lost parent,none,species')"
+        " ELSE concat(2000000000 + o_orderkey, ',short') END AS line"
+    )
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line; the accession is field 3 when split on a bar."""
     return table(spark, sf_dir, "lineitem").selectExpr(

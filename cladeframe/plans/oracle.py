@@ -36,6 +36,14 @@ _CTES = {
       THEN 'read' || l_partkey || chr(9) || 'gi|' || l_orderkey || '|ref|Z' || l_orderkey || '.1|'
     ELSE 'read' || l_partkey || chr(9) || 'gi|' || l_orderkey || '|ref|OR_' || l_orderkey || '.1|'
       || chr(9) || CAST(l_linenumber AS INT) END AS line FROM lineitem""",
+    # What must be read from files that hold the map, odd lines and wrong ones.
+    "scanned_map": """
+  SELECT acc, acc_ver, taxid, gi FROM acc_taxid
+  UNION ALL SELECT '', 'NF_' || o_orderkey || '.1', o_orderkey, NULL FROM orders WHERE o_orderkey % 7 = 0
+  UNION ALL SELECT 'accession' || o_orderkey, 'AC_' || o_orderkey || '.1', o_orderkey, NULL
+    FROM orders WHERE o_orderkey % 7 = 1
+  UNION ALL SELECT 'accession', 'EX_' || o_orderkey || '.1', o_orderkey, 5
+    FROM orders WHERE o_orderkey % 7 = 6""",
     # Lines with their accession.
     "parsed": """
   SELECT line,
@@ -193,7 +201,7 @@ def _sql(body: str) -> str:
             used.add(name)
             todo += _needs(_CTES[name])
     parts = [f"{name} AS ({_CTES[name]})" for name in _CTES if name in used]
-    return f"WITH RECURSIVE {', '.join(parts)}\n{body}"
+    return f"WITH RECURSIVE {', '.join(parts)}\n{body}" if parts else body
 
 
 _HOPS = ", ".join(
@@ -202,12 +210,65 @@ _HOPS = ", ".join(
     for i in range(4)
 )
 
+
+
+def _signed(column: str) -> str:
+    """The first 64 bits of a text's MD5 as a signed number."""
+    bits = f"CAST(CAST('0x' || substr(md5({column}), 1, 16) AS UBIGINT) AS HUGEINT)"
+    return f"""CAST(CASE WHEN {bits} >= 9223372036854775808
+    THEN {bits} - 18446744073709551616 ELSE {bits} END AS BIGINT)"""
+
+
+# Headings, row layouts and titles of the printed report, as it prints them.
+_COLUMN_HEADING = "   count  percentage  Rank name                                                         [  taxid  ] (running tally)"  # noqa: E501
+_HTML_ROW = "<TR><TD>%8d</TD><TD>%8.4f %%</TD><TD>%s</TD><TD><A HREF=''http://www.ncbi.nlm.nih.gov/Taxonomy/Browser/wwwtax.cgi?id=%d''>\t%s</A></TD></TR>"  # noqa: E501
+_SUMMARY_TITLES = (
+    "Job Name:             ",
+    "Job Desc:             ",
+    "Unique Acc.V Count:   ",
+    "Total rows processed: ",
+    "Rejected rows:        ",
+)
+_LINES = f"""SELECT line_no + 3 * lv + 2 AS line_no,
+  printf('%8d  %8.4f %%    %s    [ %s ] ( %11d )', tally, percentage, display, taxid_text,
+    running_tally) AS line FROM shown
+  UNION ALL
+  SELECT n_before + 3 * l.lv + o.k + CASE WHEN o.k = 3 THEN n_own ELSE 0 END,
+    CASE WHEN o.k = 3 THEN '' WHEN o.k = 2 THEN '{_COLUMN_HEADING}'
+         WHEN l.lv = 0 THEN '           =================== Taxid at Accession.V =================='
+         ELSE '           =================== Rank Level: ' || l.rk || '  ==================' END
+  FROM (SELECT v.lv, v.rk, (SELECT count(*) FROM ranked r WHERE r.lv < v.lv) AS n_before,
+          (SELECT count(*) FROM ranked r WHERE r.lv = v.lv) AS n_own
+        FROM (SELECT lv, rk FROM ladder UNION ALL SELECT 0, 'subspecies') v) l
+  CROSS JOIN (VALUES (1), (2), (3)) o(k)"""
+
 ORACLE: dict[str, str] = {
     name: _sql(body)
     for name, body in {
-        "accession_map": "SELECT acc, acc_ver, taxid, gi FROM acc_taxid",
-        "tree_scan": "SELECT taxid, name, parent, rank FROM tree",
-        "union_accession_files": "SELECT acc, acc_ver, taxid, gi FROM acc_taxid",
+        "accession_map": "SELECT acc, acc_ver, taxid, gi FROM scanned_map",
+        "union_accession_files": "SELECT acc, acc_ver, taxid, gi FROM scanned_map",
+        "accession_rejects": """SELECT
+  CASE o_orderkey % 7
+    WHEN 2 THEN concat_ws(chr(9), 'BT_' || o_orderkey, 'BT_' || o_orderkey || '.1', 'none', '1')
+    WHEN 3 THEN concat_ws(chr(9), 'SH_' || o_orderkey, 'SH_' || o_orderkey || '.1', '7')
+    WHEN 4 THEN concat_ws(chr(9), 'LG_' || o_orderkey, 'LG_' || o_orderkey || '.1', '7', '1', 'extra')
+    ELSE concat_ws(chr(9), 'BG_' || o_orderkey, 'BG_' || o_orderkey || '.1', '7', 'x1') END AS line,
+  CASE o_orderkey % 7 WHEN 2 THEN 'bad_taxid' WHEN 5 THEN 'bad_gi' ELSE 'wrong_columns' END
+    AS reject_reason
+  FROM orders WHERE o_orderkey % 7 IN (2, 3, 4, 5)""",
+        "tree_scan": """SELECT taxid, name, parent, rank FROM tree
+  UNION ALL SELECT 2000000000 + o_orderkey, '', CAST(1 AS BIGINT), 'species'
+    FROM orders WHERE o_orderkey % 5 = 0""",
+        "tree_rejects": """SELECT
+  CASE o_orderkey % 5 WHEN 1 THEN o_orderkey || 'x,broken id,1,species'
+    WHEN 2 THEN (2000000000 + o_orderkey) || ',nine,1,species,extra'
+    WHEN 3 THEN (2000000000 + o_orderkey) || ',lost parent,none,species'
+    ELSE (2000000000 + o_orderkey) || ',short' END AS line,
+  CASE o_orderkey % 5 WHEN 1 THEN 'bad_taxid' WHEN 3 THEN 'bad_parent' ELSE 'wrong_columns' END
+    AS reject_reason
+  FROM orders WHERE o_orderkey % 5 <> 0""",
+        "tree_parquet": "SELECT taxid, name, parent, rank FROM tree",
+        "hit_file_scan": "SELECT line, acc_ver, reject_reason FROM parsed",
         "build_tree": """SELECT taxid, name,
   CASE WHEN taxid % 19 = 0 THEN 0 ELSE parent END AS parent,
   CASE WHEN taxid % 19 = 0 THEN '' ELSE rank END AS rank FROM tree""",
@@ -276,6 +337,15 @@ ORACLE: dict[str, str] = {
   LEFT JOIN tree n3 ON n3.taxid = f.anc LEFT JOIN tree n4 ON n4.taxid = k.anc
   WHERE t.taxid IN (SELECT taxid FROM acc_taxid)""",
         "trace_filter": "SELECT * FROM trace WHERE rank = 'species'",
+        "trace_filter_not": "SELECT * FROM trace WHERE rank <> 'species'",
+        "trace_point": "SELECT * FROM trace WHERE taxid = 1000000001",
+        "trace_species_parquet": "SELECT * FROM trace WHERE rank = 'species'",
+        "trace_view_sql": """SELECT rank, species_taxid, count(taxid) AS n FROM trace
+  GROUP BY rank, species_taxid""",
+        "accession_stores": "SELECT acc_ver, freq, taxid, taxid AS bucketed_taxid FROM resolved",
+        "key_hash": """SELECT {h1} AS acc_hash, {h2} AS acc_ver_hash, taxid FROM acc_taxid""".format(
+            h1=_signed("acc"), h2=_signed("acc_ver")
+        ),
         "trace_counts": """SELECT count(taxid) AS all_rows,
   count(*) FILTER (WHERE rank = 'species') AS species_rows,
   count(*) FILTER (WHERE rank = 'no rank') AS no_rank_rows FROM trace""",
@@ -296,31 +366,18 @@ ORACLE: dict[str, str] = {
   UNION ALL SELECT 'superkingdom', up, CAST(taxid AS VARCHAR) FROM lv3""",
         "report": """SELECT rank_level, taxid, rank_name, mapped_rank, tally, percentage,
   running_tally, line_no FROM ranked""",
-        "report_lines": """SELECT line_no + 3 * lv + 2 AS line_no,
-  printf('%8d  %8.4f %%    %s    [ %s ] ( %11d )', tally, percentage, display, taxid_text,
-    running_tally) AS line FROM shown
-  UNION ALL
-  SELECT n_before + 3 * l.lv + o.k + CASE WHEN o.k = 3 THEN n_own ELSE 0 END,
-    CASE WHEN o.k = 3 THEN ''
-         WHEN o.k = 2 THEN '   count  percentage  Rank name' || repeat(' ', 57)
-           || '[  taxid  ] (running tally)'
-         WHEN l.lv = 0 THEN '           =================== Taxid at Accession.V =================='
-         ELSE '           =================== Rank Level: ' || l.rk || '  ==================' END
-  FROM (SELECT v.lv, v.rk, (SELECT count(*) FROM ranked r WHERE r.lv < v.lv) AS n_before,
-          (SELECT count(*) FROM ranked r WHERE r.lv = v.lv) AS n_own
-        FROM (SELECT lv, rk FROM ladder UNION ALL SELECT 0, 'subspecies') v) l
-  CROSS JOIN (VALUES (1), (2), (3)) o(k)""",
-        "report_html_rows": """SELECT rank_level, line_no,
-  printf('<TR><TD>%8d</TD><TD>%8.4f %%</TD><TD>%s</TD><TD>', tally, percentage, display)
-    || '<A HREF=''http://www.ncbi.nlm.nih.gov/Taxonomy/Browser/wwwtax.cgi?id=' || taxid || '''>'
-    || chr(9) || taxid_text || '</A></TD></TR>' AS html FROM shown""",
-        "report_summary": """SELECT line_no, '<TR><TD>' || rpad(title, 22, ' ') || '</TD><TD>' || shown
+        "report_lines": _LINES,
+        "report_file": f"SELECT line, count(*) AS n FROM ({_LINES}) GROUP BY line",
+        "report_html_rows": f"""SELECT rank_level, line_no,
+  printf('{_HTML_ROW}', tally, percentage, display, taxid, taxid_text) AS html FROM shown""",
+        "report_summary": f"""SELECT line_no, '<TR><TD>' || title || '</TD><TD>' || shown
     || '</TD></TR>' AS html
-  FROM (SELECT CAST(1 AS BIGINT) AS line_no, 'Job Name:' AS title, 'sales' AS shown
-    UNION ALL SELECT 2, 'Job Desc:', 'orders as taxa'
-    UNION ALL SELECT 3, 'Unique Acc.V Count:', CAST(count(DISTINCT acc_ver) AS VARCHAR) FROM parsed
-    UNION ALL SELECT 4, 'Total rows processed:', format('{:,}', count(acc_ver)) FROM parsed
-    UNION ALL SELECT 5, 'Rejected rows:', CAST(count(*) - count(acc_ver) AS VARCHAR) FROM parsed)""",
+  FROM (SELECT CAST(1 AS BIGINT) AS line_no, '{_SUMMARY_TITLES[0]}' AS title, 'sales' AS shown
+    UNION ALL SELECT 2, '{_SUMMARY_TITLES[1]}', 'orders as taxa'
+    UNION ALL SELECT 3, '{_SUMMARY_TITLES[2]}', CAST(count(DISTINCT acc_ver) AS VARCHAR) FROM parsed
+    UNION ALL SELECT 4, '{_SUMMARY_TITLES[3]}', format('{{:,}}', count(acc_ver)) FROM parsed
+    UNION ALL SELECT 5, '{_SUMMARY_TITLES[4]}', CAST(count(*) - count(acc_ver) AS VARCHAR)
+      FROM parsed)""",
         "key_collisions": """SELECT acc_ver, count(*) AS n_rows FROM acc_taxid
   GROUP BY acc_ver HAVING count(*) > 1""",
     }.items()

@@ -18,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SEP, COL = "|", 3
 LIMIT = 2
 HOPS = 3
+FIRST_ORDER = 1_000_000_001
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,32 +59,61 @@ def _names(spark: SparkSession, sf_dir: str, tree: DataFrame) -> DataFrame:
     return tree.select("name").union(suppliers).distinct()
 
 
-def accession_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _accession_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Five accession files with headers, odd accessions and lines that must be refused."""
     path = fresh_path(spark)
-    lines = derived.acc_taxid(spark, sf_dir).selectExpr(
-        "concat_ws('\t', acc, concat(acc_ver, ' '), concat(' ', taxid), gi) AS line"
+    parts = range(5)
+    lines = derived.accession_lines(spark, sf_dir).selectExpr("line", f"number % {len(parts)} AS part")
+    headers = spark.range(len(parts)).selectExpr(
+        "concat_ws('\t', 'accession', 'accession.version', 'taxid', 'gi') AS line", "id AS part"
     )
-    lines.write.text(path)
+    lines.union(headers).write.partitionBy("part").text(path)
+    return [f"{path}/part={i}" for i in parts]
+
+
+def accession_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark)
+    derived.accession_lines(spark, sf_dir).select("line").write.text(path)
     return cf.read_accession_map(spark, path)
 
 
+def union_accession_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cf.read_accession_map(spark, _accession_files(spark, sf_dir))
+
+
+def accession_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cf.accession_rejects(spark, _accession_files(spark, sf_dir))
+
+
+def _tree_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    path = fresh_path(spark)
+    cf.write_tree_csv(derived.tree(spark, sf_dir), f"{path}/good")
+    derived.odd_tree_lines(spark, sf_dir).write.text(f"{path}/odd")
+    return [f"{path}/good", f"{path}/odd"]
+
+
 def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cf.read_tree(spark, _tree_files(spark, sf_dir))
+
+
+def tree_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cf.tree_rejects(spark, _tree_files(spark, sf_dir))
+
+
+def tree_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark)
-    cf.write_tree_csv(derived.tree(spark, sf_dir), path)
-    return cf.read_tree(spark, path)
+    cf.write_tree(derived.tree(spark, sf_dir), path)
+    return spark.read.parquet(path)
 
 
-def union_accession_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hit_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit lines written to three files, with both kinds of line end, and read back."""
     path = fresh_path(spark)
-    parts = range(5)
-    lines = derived.acc_taxid(spark, sf_dir).selectExpr(
-        "concat_ws('\t', acc, acc_ver, taxid, gi) AS line", f"gi % {len(parts)} AS part"
-    )
-    headers = spark.range(len(parts)).selectExpr(
-        "concat_ws('\t', 'accession', 'accession.version', 'taxid', 'gi') AS line", "id AS part"
-    )
-    lines.union(headers).write.partitionBy("part").text(path)
-    return cf.read_accession_map(spark, [f"{path}/part={i}" for i in parts])
+    lines = derived.hits(spark, sf_dir).selectExpr("line", "length(line) % 3 AS part")
+    lines.where("part = 0").select("line").write.text(f"{path}/0")
+    lines.where("part = 1").select("line").write.option("lineSep", "\r\n").text(f"{path}/1")
+    lines.where("part = 2").select("line").write.option("compression", "gzip").text(f"{path}/2")
+    return cf.parse_hits(cf.read_hits(spark, [f"{path}/{i}" for i in range(3)]), SEP, COL)
 
 
 def build_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,6 +264,28 @@ def trace_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cf.trace_filter(cf.read_trace(spark, path), "species")
 
 
+def trace_filter_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cf.trace_filter(trace_table(spark, sf_dir), "species", keep=False)
+
+
+def trace_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace of one taxid, that of the first order."""
+    return cf.trace_of(trace_table(spark, sf_dir), FIRST_ORDER)
+
+
+def trace_species_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark)
+    cf.write_trace(trace_table(spark, sf_dir), path, rank="species")
+    return cf.read_trace(spark, path)
+
+
+def trace_view_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cf.register(trace_table(spark, sf_dir), "trace_of_orders")
+    return spark.sql(
+        "SELECT rank, species_taxid, count(taxid) AS n FROM trace_of_orders GROUP BY rank, species_taxid"
+    )
+
+
 def trace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cf.trace_counts(trace_table(spark, sf_dir))
 
@@ -273,6 +325,26 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cf.report_lines(report(spark, sf_dir))
 
 
+def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The printed report as a file, and how often it has each line."""
+    path = fresh_path(spark)
+    cf.write_lines(report_lines(spark, sf_dir), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+def accession_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accessions resolved against the map stored both ways."""
+    acc_map = derived.acc_taxid(spark, sf_dir)
+    path = fresh_path(spark)
+    cf.write_accession_map(acc_map, path)
+    name = f"accessions_{path.rsplit('/', 1)[-1]}"
+    cf.save_accession_table(acc_map, name, 8)
+    keys = _frequency(spark, sf_dir)
+    ranged = cf.resolve_accessions(keys, spark.read.parquet(path))
+    bucketed = cf.resolve_accessions(keys, spark.table(name)).withColumnRenamed("taxid", "bucketed_taxid")
+    return ranged.join(bucketed, ["acc_ver", "freq"])
+
+
 def report_html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cf.report_html_rows(report(spark, sf_dir))
 
@@ -282,10 +354,15 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of an accession file with a header, CR line ends and short lines, by way of a TSV."""
+    path = fresh_path(spark)
     lines = derived.acc_taxid(spark, sf_dir).selectExpr(
-        "concat_ws('\t', acc, acc_ver, taxid, gi) AS line"
+        "concat(concat_ws('\t', acc, acc_ver, taxid, gi), IF(gi % 3 = 0, '\r', '')) AS line"
     )
-    return cf.key_hash(cf.hash_input(lines))
+    short = derived.table(spark, sf_dir, "orders").selectExpr("concat('OR_', o_orderkey, '\t1') AS line")
+    header = spark.range(1).selectExpr("concat_ws('\t', 'accession', 'accession.version', 'taxid', 'gi')")
+    cf.write_hashes(cf.key_hash(cf.hash_input(lines.union(short).union(header))), path)
+    return spark.read.csv(path, sep="\t", schema="acc_hash bigint, acc_ver_hash bigint, taxid bigint")
 
 
 def key_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,6 +374,10 @@ QUERIES: dict[str, Query] = {
     "tree_scan": tree_scan,
     "union_accession_files": union_accession_files,
     "build_tree": build_tree,
+    "accession_rejects": accession_rejects,
+    "tree_rejects": tree_rejects,
+    "tree_parquet": tree_parquet,
+    "hit_file_scan": hit_file_scan,
     "parse_hits": _parsed,
     "hit_rejects": hit_rejects,
     "hit_counters": hit_counters,
@@ -325,6 +406,10 @@ QUERIES: dict[str, Query] = {
     "trace_table": trace_table,
     "trace_table_direct": trace_table_direct,
     "trace_filter": trace_filter,
+    "trace_filter_not": trace_filter_not,
+    "trace_point": trace_point,
+    "trace_species_parquet": trace_species_parquet,
+    "trace_view_sql": trace_view_sql,
     "trace_counts": trace_counts,
     "table_counts": table_counts,
     "annotate_hits": annotate_hits,
@@ -333,6 +418,8 @@ QUERIES: dict[str, Query] = {
     "rollup_children": rollup_children,
     "report": report,
     "report_lines": report_lines,
+    "report_file": report_file,
+    "accession_stores": accession_stores,
     "report_html_rows": report_html_rows,
     "report_summary": report_summary,
     "key_hash": key_hash,

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import chomp, strip
-from ..schemas import TREE
+from ..schemas import ACCESSION_MAP, TREE
 
 # Fixed value: first word of the header line in accession files.
 HEADER_WORD = "accession"
+# Why a line is left out.
+WRONG_COLUMNS, BAD_TAXID, BAD_PARENT, BAD_GI = "wrong_columns", "bad_taxid", "bad_parent", "bad_gi"
 # Fixed value: the class of names that go into the tree.
 SCIENTIFIC_NAME = "scientific name"
 
@@ -49,21 +51,106 @@ def read_hits(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.text(_paths(paths))
 
 
+def scan_accession_map(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Every line of accession files but headers: acc, acc_ver, taxid, gi, line, reject_reason.
+
+    A header is a line whose first field is exactly the header word and whose taxid is no
+    number. Lines without four fields, or without a number where one must be, have a
+    reason and no values; an empty or NULL gi is none. An empty first field is kept.
+    """
+    parts = spark.read.text(_paths(paths)).select(
+        F.col("value").alias("line"), F.split(chomp(F.col("value")), "\t").alias("_f")
+    )
+    named = parts.select(
+        "line",
+        F.size("_f").alias("_n"),
+        F.get("_f", F.lit(0)).alias("acc"),
+        strip(F.get("_f", F.lit(1))).alias("acc_ver"),
+        F.get("_f", F.lit(2)).alias("_taxid"),
+        F.get("_f", F.lit(3)).alias("_gi"),
+    ).withColumns({"taxid": _number(F.col("_taxid")), "gi": _number(F.col("_gi"))})
+    header = F.coalesce(F.col("acc"), F.lit("")) == HEADER_WORD
+    no_gi = F.upper(strip(F.col("_gi"))).isin("", "NULL")
+    reason = (
+        F.when(F.col("_n") != 4, WRONG_COLUMNS)
+        .when(F.col("taxid").isNull(), BAD_TAXID)
+        .when(F.col("gi").isNull() & ~no_gi, BAD_GI)
+    )
+    judged = named.where(~(header & F.col("taxid").isNull())).withColumn("reject_reason", reason)
+    return judged.select(
+        *[F.when(F.col("reject_reason").isNull(), F.col(c)).alias(c) for c in ACCESSION_MAP.names],
+        "line",
+        "reject_reason",
+    )
+
+
 def read_accession_map(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Accession files in one table, header lines removed: acc, acc_ver, taxid, gi."""
-    rows = _tab_fields(spark, paths, 4)
-    return rows.where(~F.col("_0").startswith(HEADER_WORD)).select(
-        F.col("_0").alias("acc"),
-        strip(F.col("_1")).alias("acc_ver"),
-        _number(F.col("_2")).alias("taxid"),
-        _number(F.col("_3")).alias("gi"),
+    """Accession files in one table: acc, acc_ver, taxid, gi. See `accession_rejects`."""
+    return scan_accession_map(spark, paths).where("reject_reason is null").select(*ACCESSION_MAP.names)
+
+
+def accession_rejects(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Lines that `read_accession_map` leaves out, headers aside: line, reject_reason."""
+    scanned = scan_accession_map(spark, paths)
+    return scanned.where("reject_reason is not null").select("line", "reject_reason")
+
+
+def scan_tree(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Every record of a quoted tree CSV but headers: taxid, name, parent, rank, line, reject_reason.
+
+    A header is a record that holds exactly the column names. Records without four
+    fields, or without a number as taxid or parent, have a reason and no values. An
+    empty field is an empty text, not null.
+    """
+    text = [T.StructField(name, T.StringType()) for name in (*TREE.names, "_whole")]
+    rows = spark.read.csv(
+        _paths(paths),
+        quote='"',
+        escape='"',
+        schema=T.StructType(text),
+        columnNameOfCorruptRecord="_whole",
+    )
+    header = F.lit(True)
+    for name in TREE.names:
+        header = header & (F.coalesce(F.col(name), F.lit("")) == name)
+    judged = rows.where(~header).withColumns(
+        {
+            "_id": _number(F.col("taxid")),
+            "_parent": _number(F.col("parent")),
+            "_fields": F.concat_ws(",", *[F.coalesce(name, F.lit("")) for name in TREE.names]),
+        }
+    )
+    reason = (
+        F.when(F.col("_whole").isNotNull(), WRONG_COLUMNS)
+        .when(F.col("_id").isNull(), BAD_TAXID)
+        .when(F.col("_parent").isNull(), BAD_PARENT)
+    )
+    judged = judged.withColumn("reject_reason", reason)
+    good = F.col("reject_reason").isNull()
+    return judged.select(
+        F.when(good, F.col("_id")).alias("taxid"),
+        F.when(good, F.coalesce("name", F.lit(""))).alias("name"),
+        F.when(good, F.col("_parent")).alias("parent"),
+        F.when(good, F.coalesce("rank", F.lit(""))).alias("rank"),
+        F.coalesce("_whole", "_fields").alias("line"),
+        "reject_reason",
     )
 
 
 def read_tree(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Tree as quoted CSV, with or without a header line: taxid, name, parent, rank."""
-    rows = spark.read.csv(_paths(paths), quote='"', escape='"', schema=TREE)
-    return rows.where(F.col("taxid").isNotNull())
+    """Tree as quoted CSV, with or without header lines: taxid, name, parent, rank.
+
+    See `tree_rejects`.
+    """
+    return scan_tree(spark, paths).where("reject_reason is null").select(*TREE.names)
+
+
+def tree_rejects(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Records that `read_tree` leaves out, headers aside: line, reject_reason.
+
+    `line` is the record as it stands, or its fields joined by commas if their number is right.
+    """
+    return scan_tree(spark, paths).where("reject_reason is not null").select("line", "reject_reason")
 
 
 def read_names(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

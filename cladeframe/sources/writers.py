@@ -45,10 +45,12 @@ def save_accession_table(acc_map: DataFrame, name: str, buckets: int) -> None:
     """Accession map as a table bucketed on acc_ver.
 
     Joins and aggregations on acc_ver then read the map without shuffling it, once
-    per bucket. Use it where many reports run against one map.
+    per bucket. Use it where many reports run against one map. Copies of a row are
+    stored once, and rows are dealt by the whole row: a bucket may then consist of
+    several files, but an accession with many rows is no single task's.
     """
     (
-        acc_map.repartition(buckets, "acc_ver")
+        acc_map.distinct()
         .write.mode("overwrite")
         .bucketBy(buckets, "acc_ver")
         .sortBy("acc_ver")

@@ -7,8 +7,9 @@ from conftest import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-import cladeframe as cf
 from cladeframe.operators import joins
+from cladeframe.operators.report import _level_totals
+from cladeframe.operators.staging import derived, stage, within_broadcast
 
 
 def skewed(spark, n=3000):
@@ -22,6 +23,7 @@ def test_hot_keys_finds_the_heavy_one(spark, monkeypatch):
     assert joins.hot_keys(skewed(spark), "k") == [7]
     monkeypatch.setattr(joins, "HOT_ROWS", 10_000)
     assert joins.hot_keys(skewed(spark), "k") == []
+    monkeypatch.setattr(joins, "HOT_ROWS", 1)
     assert joins.hot_keys(skewed(spark).where("false"), "k") == []
 
 
@@ -49,6 +51,39 @@ def test_string_keys(spark, forced_shuffle):
     assert rows(found) == rows(facts.join(dim, F.col("k") == F.col("id2")))
 
 
+def test_two_hundred_hot_keys(spark, forced_shuffle, monkeypatch):
+    """Many keys above the bar are all found, and joined right with and without broadcast."""
+    monkeypatch.setattr(joins, "HOT_ROWS", 10)
+    monkeypatch.setattr(joins, "HOT_PARTS", 50)
+    facts = spark.range(6000).selectExpr("id % 200 AS k", "id AS v")
+    hot = joins.hot_keys(facts.unionByName(spark.range(5000, 5400).selectExpr("id AS k", "id AS v")), "k")
+    assert sorted(hot) == list(range(200))
+    dim = stage(spark.range(300).selectExpr("id AS id2", "id * 10 AS w"))
+    plain = rows(facts.join(dim, F.col("k") == F.col("id2"), "left"))
+    assert rows(joins.split_join(facts, dim, "k", "id2", "left", hot)) == plain
+    monkeypatch.setattr(joins, "threshold", lambda spark: 10**9)
+    assert rows(joins.split_join(facts, dim, "k", "id2", "left", hot)) == plain
+
+
+def test_only_counted_tables_are_small(spark):
+    """Neither an estimate nor the size on disk proves that a table may be broadcast."""
+    made = spark.range(1000).select(F.explode(F.sequence(F.lit(1), F.lit(2_000_000))).alias("id2"))
+    assert not within_broadcast(made)
+    assert not within_broadcast(made.distinct())
+    assert not within_broadcast(spark.range(3))
+    flat = stage(spark.range(1_000_000).selectExpr("id AS id2", "repeat('x', 100) AS w"))
+    assert not within_broadcast(flat)
+    assert not within_broadcast(derived(flat.select("id2"), flat))
+    paths = stage(spark.range(200_000).selectExpr("id AS id2", "sequence(id, id + 30) AS path"))
+    assert not within_broadcast(paths)
+    facts = stage(spark.range(2000).selectExpr("id AS k"))
+    plan = joins.lookup(facts, flat, "k", "id2", staged=True)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    few = stage(spark.range(100).selectExpr("id AS id2"))
+    assert within_broadcast(few)
+    assert within_broadcast(derived(few.selectExpr("id2 AS other"), few))
+
+
 @pytest.mark.parametrize("k", [1, 2, 50])
 def test_first_k(spark, k):
     data = skewed(spark)
@@ -61,12 +96,12 @@ def test_first_k(spark, k):
 def test_running_totals(spark, coalesce):
     rng = random.Random(5)
     data = [(0 if rng.random() < 0.8 else rng.randrange(1, 4), rng.randrange(5), i) for i in range(900)]
-    df = spark.createDataFrame(data, "g int, v bigint, id bigint")
+    df = spark.createDataFrame(data, "_level int, v bigint, id bigint")
     old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
     try:
-        found = cf.running_totals(df, "g", [F.col("v").desc(), F.col("id")], "v")
-        found = rows(found, "g", "v", "id", "running", "line_no", "total")
+        found = _level_totals(df, [F.col("v").desc(), F.col("id")], "v")
+        found = rows(found, "_level", "v", "id", "running", "line_no", "total")
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
     expected, so_far = [], {}
