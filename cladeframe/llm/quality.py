@@ -39,6 +39,7 @@ class ByteConv:
         rng = np.random.default_rng(seed)
         self.share, self.trained = share, False
         self.embed = rng.normal(0, 0.5, (256, DIM)).astype(np.float32)
+        self.embed[0] = 0
         self.filters = rng.normal(0, (WIDTH * DIM) ** -0.5, (FILTERS, WIDTH * DIM)).astype(np.float32)
         self.bias = np.zeros(FILTERS, np.float32)
         self.out = rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32)
@@ -62,15 +63,22 @@ class ByteConv:
         )
         return np.ascontiguousarray(view)
 
-    def _pooled(self, padded: np.ndarray, where: bool = False):
-        """Each filter's largest value in each block, and the position that has it."""
+    def _pooled(self, padded: np.ndarray, first: np.ndarray, where: bool = False):
+        """Each filter's largest value in each block, and the position that has it.
+
+        The last windows of a text's last block would reach into the next text; they
+        count as padding, which embeds to zero.
+        """
         total = (len(padded) - WIDTH) // BLOCK
+        last = np.zeros(total, bool)
+        last[first[1:] - 1] = True
         top = np.empty((FILTERS, total), np.float32)
         at = np.empty((FILTERS, total), np.int64) if where else None
         for start in range(0, total * BLOCK, SLAB):
             stop = min(start + SLAB, total * BLOCK)
             values = (self.filters @ self._windows(padded, start, stop).T).reshape(FILTERS, -1, BLOCK)
             b = slice(start // BLOCK, stop // BLOCK)
+            values[:, last[b], BLOCK - WIDTH + 1 :] = 0
             if where:
                 arg = values.argmax(2)
                 at[:, b] = arg + (np.arange(b.start, b.stop) * BLOCK)[None, :]
@@ -104,7 +112,7 @@ class ByteConv:
         if not self.trained or len(starts) < 2:
             return np.full(len(starts) - 1, self.share)
         padded, first = self._blocks(flat, starts)
-        features = self._features(self._pooled(padded)[0], first)[0]
+        features = self._features(self._pooled(padded, first)[0], first)[0]
         return sigmoid((self.out @ features + self.shift).astype(np.float64))
 
     def fit(self, texts: list[bytes], y: np.ndarray, weights: np.ndarray, seed: int = 5) -> ByteConv:
@@ -125,7 +133,7 @@ class ByteConv:
 
     def _gradients(self, flat, starts, y, weights):
         padded, first = self._blocks(flat, starts)
-        top, at = self._pooled(padded, where=True)
+        top, at = self._pooled(padded, first, where=True)
         features, act, pick, is_chunk, counts = self._features(top, first)
         p = sigmoid(self.out @ features + self.shift)
         slope = (weights * (p - y) / len(y)).astype(np.float32)

@@ -286,7 +286,7 @@ def set_join(
         )
     )
     return (
-        digests.select("doc_id", "print")
+        digests.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
         .join(per_class, "print", "left")
         .select(
             "doc_id",
