@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .samples import PER_CLASS, Adam, class_weights, flat_bytes, labelled, sigmoid
+from .samples import PER_CLASS, Adam, class_weights, fetched, flat_bytes, labelled, sigmoid
 
 WIDTH = 6
 DIM = 8
@@ -165,11 +165,12 @@ class ByteConv:
 
 def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ByteConv:
     """Fit the network on a bounded sample of labelled rows outside the held-out fold."""
-    frame, share = labelled(docs, labels, "quality", FOLDS, HELD_OUT, per_class)
-    y = frame["label"].to_numpy(np.float32)
+    picked, share = labelled(docs, labels, "quality", FOLDS, HELD_OUT, per_class)
     model = ByteConv(share)
-    if len(np.unique(y)) < 2:
+    if len(set(picked.values())) < 2:
         return model
+    frame = fetched(docs, picked)
+    y = frame["_class"].to_numpy(np.float32)
     texts = [(t or "").encode() for t in frame["text"]]
     return model.fit(texts, y, class_weights(y, share))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,14 +26,13 @@ def labelled(
     folds: int,
     held_out: int,
     per_class: int = PER_CLASS,
-    columns: tuple[str, ...] = (),
-):
-    """A bounded sample of learnable labelled texts, and the share of label 1 among all of them.
+) -> tuple[dict, float]:
+    """A bounded sample of learnable labelled ids, and the share of label 1 among all of them.
 
     Learnable are the documents whose crc32 fold is not `held_out`. Of each class the
     `per_class` rows with the smallest seeded hash of their id are taken. A document
-    labelled more than once has its smallest label. Returns a pandas frame (doc_id, text,
-    label, *columns) and the share.
+    labelled more than once has its smallest label. Returns {doc_id: label} and
+    the share.
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & (crc_fold(F.col("doc_id"), folds) != held_out))
@@ -39,9 +41,9 @@ def labelled(
     )
     usable = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST_TEXT)
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    frame = fetched(docs, pick(usable.select("doc_id").join(known, "doc_id"), "label", per_class), columns)
+    picked = pick(usable.select("doc_id").join(known, "doc_id"), "label", per_class)
     n = sum(counts.values())
-    return frame.rename(columns={"_class": "label"}), counts.get(1, 0) / n if n else 0.5
+    return picked, counts.get(1, 0) / n if n else 0.5
 
 
 def pick(rows: DataFrame, group: str, most: int) -> dict:
@@ -54,13 +56,28 @@ def pick(rows: DataFrame, group: str, most: int) -> dict:
     return {r["doc_id"]: r[group] for r in ranked.collect()}
 
 
-def fetched(docs: DataFrame, picked: dict, columns: tuple[str, ...] = ()):
-    """The texts of the picked ids as a pandas frame in order of id, with their group as `_class`."""
-    rows = docs.where(F.col("doc_id").isin(list(picked))).select("doc_id", "text", *columns).toPandas()
+def fetched(docs: DataFrame, picked: dict, columns: tuple[str, ...] = ("text",)):
+    """The rows of the picked ids as a pandas frame in order of id, with their group as `_class`."""
+    rows = docs.where(F.col("doc_id").isin(list(picked))).select("doc_id", *columns).toPandas()
     rows = rows.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
     return rows.assign(_class=rows["doc_id"].map(picked))
 
 
+def fitted_in_task(rows: DataFrame, fit) -> dict:
+    """What `fit` makes of a bounded sample, a pandas frame, in one task; plain numbers and arrays.
+
+    The driver gets the finished parameters only. Nothing to learn from gives {}.
+    """
+
+    def run(batches):
+        frames = [b for b in batches if len(b)]
+        if frames:
+            yield pd.DataFrame({"fitted": [pickle.dumps(fit(pd.concat(frames, ignore_index=True)))]})
+
+    made = rows.repartition(1).mapInPandas(run, "fitted binary").first()
+    return pickle.loads(made["fitted"]) if made else {}
+
+
 def class_weights(y: np.ndarray, share: float) -> np.ndarray:
     """Weights that give a sample the class shares of all labelled rows."""
     have = y.mean() if len(y) else 0.5
