@@ -26,7 +26,7 @@ from .samples import Adam, fetched, flat_bytes, pick, sigmoid
 from .words import crc_fold
 
 BUCKETS = 1 << 13
-ORDERS = (2, 3)
+ORDERS = (1, 2, 3, 4)
 # The bounds of the training sample.
 PER_LANGUAGE = 400
 LONGEST_TEXT = 16_384
