@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import CYCLE, NO_RANK, TOP, UNKNOWN_ID, UNKNOWN_NAME, UNRESOLVED
 from .joins import lookup
-from .staging import derived, fresh_path, remove, stage
+from .staging import counted, derived, fresh_path, remove, stage
 
 
 def unique_nodes(tree: DataFrame) -> DataFrame:
@@ -91,18 +91,20 @@ def climb(nodes: DataFrame, arrays: Sequence[str], laps: int = 1) -> DataFrame:
     """
     spark = nodes.sparkSession
     folder = fresh_path(spark)
-    state = stage(_start(nodes.where("is_parent")), f"{folder}/0")
+    # Counted while a round is written, so that no round needs a job of its own for it.
+    open_rows = F.count_if(F.col("jump").isNotNull())
+    state = stage(_start(nodes.where("is_parent")), f"{folder}/0", left=open_rows)
     round_no = 0
 
     def advance(state: DataFrame) -> DataFrame:
         nonlocal round_no
         round_no += 1
-        staged = stage(_advance(state, state, arrays), f"{folder}/{round_no}")
+        staged = stage(_advance(state, state, arrays), f"{folder}/{round_no}", left=open_rows)
         remove(spark, f"{folder}/{round_no - 1}")
         return staged
 
     def unfinished(state: DataFrame) -> int:
-        return state.where("jump is not null").count()
+        return counted(state).measures["left"]
 
     def covered(state: DataFrame) -> int:
         met = F.sum(F.size(F.array_distinct(arrays[0])))

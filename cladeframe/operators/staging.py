@@ -28,6 +28,7 @@ class Counted:
     rows: int
     total_bytes: int
     widest_row: int
+    measures: dict
 
 _local_folders: dict[str, tempfile.TemporaryDirectory] = {}
 _scopes: dict[str, str] = {}
@@ -78,8 +79,11 @@ def _width(col: Column, kind: T.DataType) -> Column:
     return F.lit(16).cast("long")
 
 
-def stage(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write `df` once and return the written table, with its size counted on the way."""
+def stage(df: DataFrame, path: str | None = None, **measures: Column) -> DataFrame:
+    """Write `df` once and return the written table, with its size counted on the way.
+
+    `measures` are further aggregates to take along.
+    """
     spark = df.sparkSession
     path = path or fresh_path(spark)
     width = F.lit(ROW_BYTES).cast("long")
@@ -87,10 +91,16 @@ def stage(df: DataFrame, path: str | None = None) -> DataFrame:
         width = width + _width(F.col(f"`{field.name}`"), field.dataType)
     seen = Observation()
     df.observe(
-        seen, F.count(F.lit(1)).alias("rows"), F.sum(width).alias("total"), F.max(width).alias("widest")
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(width).alias("total"),
+        F.max(width).alias("widest"),
+        *[value.alias(name) for name, value in measures.items()],
     ).write.parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
-    staged._counted = Counted(seen.get["rows"], seen.get["total"] or 0, seen.get["widest"] or 0)
+    found = seen.get
+    taken = {name: found[name] for name in measures}
+    staged._counted = Counted(found["rows"], found["total"] or 0, found["widest"] or 0, taken)
     return staged
 
 
