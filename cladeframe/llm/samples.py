@@ -49,10 +49,20 @@ def labelled(
 def pick(rows: DataFrame, group: str, most: int) -> dict:
     """For each `group` the `most` ids with the smallest seeded hash: {doc_id: group}.
 
-    Ids only; every task first cuts its own rows down to the limit.
+    Ids only. A cut-off that four times as many ids are expected to stay below keeps what
+    is ranked small, however many tasks there are; groups are few.
     """
-    first = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id")
-    ranked = rows.select("doc_id", group).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= most)
+    sizes = {r[group]: r["n"] for r in rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 40)) / (1 << 40)
+    keep = F.lit(False)
+    for value, n in sizes.items():
+        keep = keep | (F.col(group).eqNullSafe(F.lit(value)) & (share < 4 * most / n))
+    ranked = (
+        rows.select("doc_id", group)
+        .where(keep)
+        .withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(share, "doc_id")))
+        .where(F.col("_rank") <= most)
+    )
     return {r["doc_id"]: r[group] for r in ranked.collect()}
 
 
