@@ -87,13 +87,16 @@ ORACLE: dict[str, str] = {
                  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM late)
                  GROUP BY doc_id, island),
         gone AS (SELECT DISTINCT doc_id, unnest(range(a, b)) AS p FROM runs),
-        spans AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE coalesce(before <> p - 1, true)) AS n_spans
-                  FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY doc_id),
-        each AS (SELECT doc_id, p, h[2 * p + 1:2 * p + 2] AS x
-                 FROM (SELECT *, unnest(range(0, len(h) // 2)) AS p FROM bytes)),
-        kept AS (SELECT doc_id, string_agg(x, '' ORDER BY p) AS h FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        holes AS (SELECT doc_id, min(p) AS a, max(p) + 1 AS b
+                  FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM gone)
+                  GROUP BY doc_id, island),
+        spans AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n, count(*) AS n_spans FROM holes GROUP BY doc_id),
+        rests AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM holes
+                  UNION ALL SELECT doc_id, max(b), 1000000000 FROM holes GROUP BY doc_id),
+        kept AS (SELECT doc_id, string_agg(h[2 * s + 1:2 * e], '' ORDER BY s) AS h
+                 FROM rests JOIN bytes USING (doc_id) GROUP BY doc_id)
         SELECT b.doc_id, len(b.h) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-               sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
+               sha256(unhex(coalesce(k.h, b.h))) AS kept_sha256
         FROM bytes b LEFT JOIN spans USING (doc_id) LEFT JOIN kept k USING (doc_id)
     """,
     "op8_mixing": f"""
