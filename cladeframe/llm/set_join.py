@@ -5,7 +5,8 @@ function per run and path, a set of size n follows each of its tokens with chanc
 1 / (threshold * n), so two sets at the threshold have about one branch in common at every
 level. Buckets of sets on one path are compared by brute force when they are small and
 split on the next sampled token when they are not; what no token splits is compared in
-cells of bounded size. Runs are repeated until the target recall.
+cells of bounded size. Runs are repeated until the target recall, which holds for pairs
+that must meet at every level too: those whose tokens all stand in many sets.
 
 Comparison inside a bucket uses min-wise sketches, with a margin that no true pair misses
 in practice; sets connected that way meet once more, with all their tokens, for the exact
@@ -47,18 +48,25 @@ BLOCK_SETS = 512
 # Tokens in a block of a cell of the exact comparison.
 BLOCK_TOKENS = 1 << 19
 SKETCH = 128
+# Numbers that are scrambled at a time when paths are chosen.
+SLAB = 1 << 14
 # Standard deviations of a sketch's estimate that a true pair may lie below the threshold.
 MARGIN = 5
 SEED = 29
 
 
-def runs_for(recall: float) -> int:
+def runs_for(recall: float, levels: int = LEVELS) -> int:
     """Runs until a pair at the threshold is found with this chance.
 
-    One run finds it when it follows a common token: at the threshold the number of
-    those is about Poisson with mean 1, at each level that its bucket is split.
+    One run surely finds it when some path is common down to the last level, where every
+    bucket is compared. At the threshold each common path has about Poisson many common
+    branches, with mean 1: a path is lost within d levels with chance e^(f - 1), f being
+    the chance within d - 1.
     """
-    return math.ceil(math.log(1 - recall) / -1.0)
+    lost = 0.0
+    for _ in range(levels):
+        lost = math.exp(lost - 1)
+    return math.ceil(math.log(1 - recall) / math.log(lost))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -89,19 +97,20 @@ def _paths(tokens: np.ndarray, runs: int, similarity: float) -> tuple[list, list
     open_paths = _mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     for depth in range(1, LEVELS + 1):
         children = []
-        for p in open_paths:
-            u = _mix(tokens ^ p)
-            chosen = u[u < bar]
-            if len(chosen):
-                child = _mix(chosen + p)
-                children.append(child)
-                level += [depth] * len(child)
-                before += [p] * len(child)
-                path += child.tolist()
-        if not children:
-            break
+        width = max(1, SLAB // len(open_paths))
+        for a in range(0, len(tokens), width):
+            u = _mix(open_paths[:, None] ^ tokens[a : a + width])
+            at = np.flatnonzero(u < bar)
+            own = open_paths[at // u.shape[1]]
+            child = _mix(u.ravel()[at] + own)
+            children.append(child)
+            level += [depth] * len(child)
+            before += own.tolist()
+            path += child.tolist()
         open_paths = np.concatenate(children)
-    return level, [int(b) for b in before], path
+        if not len(open_paths):
+            break
+    return level, before, path
 
 
 _SALTS = _mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
