@@ -8,7 +8,8 @@ DataFrame functions only.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
 order; a document of size 0 is taken 0 times; rows that repeat a doc_id are documents of
-their own; an empty table gives an empty result. Other columns of the input are ignored.
+their own; an empty table gives an empty result. Other columns of the input are ignored by `mix`
+and kept by `mixed`.
 """
 
 from __future__ import annotations
@@ -114,11 +115,12 @@ def mix(
     block_words: int = BLOCK_WORDS,
     shard_docs: int = SHARD_DOCS,
     seed: int = SEED,
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
     """How many words the mix takes of each document.
 
     Returns doc_id, source, size, source_size, target (the source's) and taken (words,
-    repeats counted), one row per input row.
+    repeats counted), and the columns of the input in `also`, one row per input row.
     """
     ticket = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = stage(
@@ -128,6 +130,7 @@ def mix(
             word_count(F.col("text")).alias("size"),
             _source_key(F.col("source")).alias("_source"),
             ticket.alias("_ticket"),
+            *also,
         )
     )
     totals = sized.groupBy("_source").agg(
@@ -174,5 +177,19 @@ def mix(
                 F.least(F.col("_start") + F.col("size"), F.col("_rest")) - F.col("_start"),
             ),
         )
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
+        .select("doc_id", "source", "size", "source_size", "target", "taken", *also)
     )
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows the mix takes words of, with all their columns, size, source_size, target and taken.
+
+    Rows are numbered in a written table and known by that number, so that a row without a
+    doc_id stays and rows that share one meet only what was taken of each. A column of the
+    input with the name of a new one is replaced.
+    """
+    new = ["size", "source_size", "target", "taken"]
+    old = [c for c in docs.columns if c not in new]
+    rows = stage(docs.select(*old).withColumn("_row", F.monotonically_increasing_id()))
+    taken = mix(rows, **options, also=("_row",)).where("taken > 0").select("_row", *new)
+    return rows.join(taken, "_row").select(*old, *new)

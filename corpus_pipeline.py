@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.llm.decontamination import decontaminate
-from cladeframe.llm.mixing import mix
+from cladeframe.llm.mixing import mixed
 from cladeframe.llm.set_join import set_join
 from cladeframe.llm.suffixes import dedup_bytes
 from cladeframe.llm.toxicity import toxicity_threshold, train_toxicity, with_toxicity
@@ -44,9 +44,11 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with the words it takes of each, repeats counted."""
-    taken = mix(docs).where("taken > 0").select("doc_id", "size", "source_size", "target", "taken")
-    return docs.join(taken, "doc_id")
+    """Documents that the mix takes, with the words it takes of each, repeats counted.
+
+    Rows without a doc_id and rows that share one are documents of their own.
+    """
+    return mixed(docs)
 
 
 STAGES = [
