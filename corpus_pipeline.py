@@ -18,8 +18,10 @@ from cladeframe.operators.staging import stage
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the toxicity threshold of their language."""
+    """Documents below the toxicity threshold of their language; all, if nothing could be learned."""
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model.trained:
+        return docs
     scored = with_toxicity(docs, model, "_toxicity")
     return scored.where(F.col("_toxicity") < toxicity_threshold(model, F.col("lang"))).drop("_toxicity")
 
