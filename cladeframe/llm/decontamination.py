@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
-A benchmark item of m words is looked for in all windows of m words of every document.
+A benchmark item of m words is looked for in all windows of m words of every document; a
+document of fewer words is one window of its whole text.
 Items and windows are multisets of word n-grams; their similarity is the weighted Jaccard
 sum of minima / sum of maxima of the n-grams' counts.
 
@@ -12,7 +13,8 @@ their exact similarity. Equal windows are searched for once.
 
 Defined results: words are lower-case runs of letters and digits; an item of fewer than n
 words is one n-gram of all its words, an item without words (null included) matches
-nothing; a null text or doc_id matches nothing; items with equal text each match; rows that
+nothing; a document shorter than the item matches it as a whole, from 0 and once, and not if
+it is too short for one n-gram of the item's; a null text or doc_id matches nothing; items with equal text each match; rows that
 repeat a doc_id count as one document. Empty tables give an empty result. Other columns are
 ignored.
 """
@@ -129,20 +131,24 @@ def _matches(docs: DataFrame, items: DataFrame, n: int, least: float, radius: in
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     listed = texts.select("doc_id", _ngrams(plain_words(F.col("text")), n).alias("grams"))
     hits = listed.select("doc_id", F.size("grams").alias("_all"), F.posexplode("grams").alias("pos", "gram")).join(grams, "gram")
-    # n-grams in a window, and how many of them at least are in an item that reaches `least`.
+    # n-grams in an item and in a window, and how many of the window's at least are in an
+    # item that reaches `least`; of fewer than `least` times the item's, all are too few.
     inside = F.col("size") - (n - 1)
-    needed = F.ceil(inside * (2 * least / (1 + least)) - 1e-9)
+    span = F.least(inside, F.col("_all"))
+    needed = F.ceil((inside + F.col("_span")) * (least / (1 + least)) - 1e-9)
     windows = (
-        hits.where(F.col("_all") >= inside)
+        hits.where(F.col("_all") >= inside * least - 1e-9)
+        .withColumn("_span", span)
         .withColumn(
             "start",
             F.explode(
                 F.sequence(
-                    F.greatest(F.col("pos") - inside + 1, F.lit(0)), F.least(F.col("pos"), F.col("_all") - inside)
+                    F.greatest(F.col("pos") - F.col("_span") + 1, F.lit(0)),
+                    F.least(F.col("pos"), F.col("_all") - F.col("_span")),
                 )
             ),
         )
-        .groupBy("doc_id", "size", "start")
+        .groupBy("doc_id", "size", "start", "_span")
         .agg(F.count(F.lit(1)).alias("_hits"))
         .where(F.col("_hits") >= needed)
     )
