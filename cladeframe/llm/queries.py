@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.staging import fresh_path
 from . import language, quality, toxicity
+from .collocations import collocations
+from .conversations import damaged, repair_report
 from .decontamination import contaminated
 from .mixing import mix
 from .near_vectors import near_vectors
@@ -121,6 +123,16 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words keep together."""
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, their faults and their cheapest repair."""
+    return repair_report(damaged(_table(spark, sf_dir, "conversations")), F.col("gone"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -133,4 +145,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_substrings": op10_substrings,
+    "op12_collocations": op12_collocations,
+    "op13_conversation_repair": op13_conversation_repair,
 }
