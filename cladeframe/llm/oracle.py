@@ -152,25 +152,26 @@ ORACLE: dict[str, str] = {
                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
                         FROM documents),
         words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
-        grams AS (SELECT lang, k, w[i:i + k - 1] AS g
+        grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g
                   FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i
                         FROM words, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k)),
         f AS (SELECT lang, k, g, count(*) AS a FROM grams GROUP BY ALL),
         totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
-        often AS (SELECT * FROM f WHERE k >= 2 AND a >= 10),
-        cuts AS (SELECT o.lang, o.k, o.g, o.a, c, x.a AS l, y.a AS r,
-                        (1000000::HUGEINT * o.a * o.a) // (x.a::HUGEINT * y.a) AS score
-                 FROM (SELECT *, unnest(range(1, k)) AS c FROM often) o
-                 JOIN f x ON x.lang = o.lang AND x.g = o.g[1:c] JOIN f y ON y.lang = o.lang AND y.g = o.g[c + 1:o.k]),
-        lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
-        holders AS (SELECT lang, g[i:i + 1] AS g, max(a) AS longer
-                    FROM (SELECT *, unnest([1, 2]) AS i FROM often WHERE k = 3) GROUP BY ALL),
-        ranked AS (SELECT l.lang, array_to_string(l.g, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score,
-                          row_number() OVER (PARTITION BY l.lang
-                              ORDER BY score DESC, a DESC, array_to_string(l.g, ' ')) AS rank
-                   FROM lowest l JOIN totals t ON t.lang = l.lang
-                   LEFT JOIN holders h ON h.lang = l.lang AND h.g = l.g
-                   WHERE coalesce(100 * longer < 50 * a, true))
+        often AS (SELECT lang, k, g, a, string_split(g, ' ') AS w FROM f WHERE k >= 2 AND a >= 10),
+        cuts AS (SELECT lang, g, a, c, array_to_string(w[1:c], ' ') AS first, array_to_string(w[c + 1:k], ' ') AS rest
+                 FROM (SELECT *, unnest(range(1, k)) AS c FROM often)),
+        scored AS (SELECT u.lang, u.g, u.a, u.c, x.a AS l, y.a AS r,
+                          (1000000::HUGEINT * u.a * u.a) // (x.a::HUGEINT * y.a) AS score
+                   FROM cuts u JOIN f x ON x.lang = u.lang AND x.g = u.first JOIN f y ON y.lang = u.lang AND y.g = u.rest),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+        held AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS g, a
+                 FROM (SELECT *, unnest([1, 2]) AS i FROM often WHERE k = 3)),
+        holders AS (SELECT lang, g, max(a) AS longer FROM held GROUP BY ALL),
+        ranked AS (SELECT t.lang, s.g AS phrase, s.a, s.l, s.r, t.n, CAST(s.score AS BIGINT) AS score,
+                          row_number() OVER (PARTITION BY t.lang ORDER BY s.score DESC, s.a DESC, s.g) AS rank
+                   FROM lowest s JOIN totals t ON t.lang = s.lang
+                   LEFT JOIN holders h ON h.lang = s.lang AND h.g = s.g
+                   WHERE coalesce(100 * h.longer < 50 * s.a, true))
         SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
     """,
 }
