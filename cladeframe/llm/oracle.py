@@ -147,6 +147,21 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(text, '')) AS kept_sha256
         FROM words LEFT JOIN kept USING (doc_id)
     """,
+    # The pages mark their articles; references in them are those replaced here.
+    "op11_html_extraction": r"""
+        WITH parts AS (SELECT page_id, url, unnest(regexp_split_to_array(
+                              regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1),
+                              '</?(?:p|h1)>')) AS part,
+                              generate_subscripts(regexp_split_to_array(
+                              regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1),
+                              '</?(?:p|h1)>'), 1) AS i FROM pages),
+        shown AS (SELECT page_id, url, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(
+                         part, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'),
+                         '[\s\x0b]+', ' ', 'g')) AS line FROM parts),
+        texts AS (SELECT page_id, url, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE line <> ''), '') AS text
+                  FROM shown GROUP BY page_id, url)
+        SELECT page_id, url, text, length(text) AS n_chars FROM texts
+    """,
     "op12_collocations": r"""
         WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text,
                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece

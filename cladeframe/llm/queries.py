@@ -16,6 +16,7 @@ from .set_join import set_join
 from .substrings import dedup_substrings
 from .suffixes import dedup_bytes
 from .token_counts import TokenRollup, inserted, with_bpe_count, with_word_count
+from .wrappers import extract
 from .words import GAP, crc_fold
 
 
@@ -123,6 +124,11 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The phrases of each language whose words keep together."""
     return collocations(_table(spark, sf_dir, "documents"))
@@ -145,6 +151,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_substrings": op10_substrings,
+    "op11_html_extraction": op11_html_extraction,
     "op12_collocations": op12_collocations,
     "op13_conversation_repair": op13_conversation_repair,
 }
