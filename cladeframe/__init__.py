@@ -9,6 +9,7 @@ from .operators.lineage import (
     descendant_accessions,
     descendants,
     lineage,
+    nth_parent,
     parent_hops,
     paths,
     rank_name,

@@ -54,6 +54,10 @@ def lookup(
         return facts.join(F.broadcast(dim), on, how)
     if not staged:
         facts = stage(facts)
+    known = counted(facts)
+    if known is not None and known.rows <= HOT_ROWS:
+        # So few rows that no key, null included, is too many for a task: no sketch, no split.
+        return facts.join(dim.hint("merge"), on, how)
     return split_join(facts, dim, facts_key, dim_key, how, hot_keys(facts, facts_key))
 
 
@@ -62,24 +66,32 @@ def split_join(
 ) -> DataFrame:
     """The same join in parts: null keys alone, `hot` keys, and the rest by a shuffle.
 
-    The rows of hot keys are one per key; they are broadcast if their number times the
+    There are at most HOT_PARTS hot keys a shuffle partition, so the list of them is a broadcast
+    table. The rows of hot keys are one per key; they are broadcast if their number times the
     widest row of `dim` is within the limit, and else repeated for every salt, so that
     a hot key is dealt to many tasks.
     """
+    spark = facts.sparkSession
     on = F.col(facts_key) == F.col(dim_key)
-    key = F.col(facts_key)
-    apart = key.isNull() | key.isin(hot) if hot else key.isNull()
-    rest = facts.where(~apart).join(dim.hint("merge"), on, how)
-    none = dim.where(F.lit(False))
+    filled = facts.where(F.col(facts_key).isNotNull())
+    if hot:
+        kind = facts.schema[facts_key].dataType.simpleString()
+        listed = F.broadcast(spark.createDataFrame([(key,) for key in hot], f"_hot {kind}"))
+        is_hot = F.col(facts_key) == F.col("_hot")
+        rest = filled.join(listed, is_hot, "left_anti").join(dim.hint("merge"), on, how)
+    else:
+        rest = filled.join(dim.hint("merge"), on, how)
     if how == "left":
-        rest = rest.unionByName(facts.where(key.isNull()).join(F.broadcast(none), on, how))
+        none = dim.where(F.lit(False))
+        rest = rest.unionByName(facts.where(F.col(facts_key).isNull()).join(F.broadcast(none), on, how))
     if not hot:
         return rest
-    own, served = facts.where(key.isin(hot)), dim.where(F.col(dim_key).isin(hot))
+    own = filled.join(listed, is_hot, "left_semi")
+    served = dim.join(listed, F.col(dim_key) == F.col("_hot"), "left_semi")
     known = counted(dim)
-    if known is not None and known.widest_row * len(hot) <= threshold(facts.sparkSession):
+    if known is not None and known.widest_row * len(hot) <= threshold(spark):
         return rest.unionByName(own.join(F.broadcast(served), on, how))
-    salts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     salted = own.withColumn("_salt", F.pmod(F.xxhash64(*own.columns), F.lit(salts)).cast("int"))
     repeated = served.withColumn("_of_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     both = salted.join(repeated.hint("merge"), on & (F.col("_salt") == F.col("_of_salt")), how)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ladder
 from ..schemas import LEVELS, NO_RANK, RANKS, UNKNOWN_NAME
-from .joins import attach
-from .lineage import Taxonomy, as_taxonomy
-from .staging import stage
+from .joins import attach, lookup
+from .lineage import Taxonomy, as_taxonomy, with_names
+from .staging import derived, stage
 
 
 def taxid_tally(resolved: DataFrame) -> DataFrame:
@@ -23,47 +23,33 @@ def taxid_tally(resolved: DataFrame) -> DataFrame:
     )
 
 
-def _cascade(resolved: DataFrame, tree: DataFrame | Taxonomy) -> DataFrame:
-    """One row per taxid hit, with its tally and its answer at every rank."""
+def _wide(resolved: DataFrame, tree: Taxonomy) -> DataFrame:
+    """One staged row per taxid hit: id_0, tally, n_children, and what was found at every rank."""
     tally = stage(taxid_tally(resolved))
-    closed = as_taxonomy(tree).ladders(RANKS)
-    found = attach(tally, closed, "taxid")
-    answers = {}
-    for k in range(1, len(RANKS) + 1):
-        answers[f"id_{k}"] = ladder.answer_id(k)
-        answers[f"label_{k}"] = ladder.answer_label(k)
-    return stage(
-        ladder.with_positions(found, RANKS, ladder.CASCADE).select(
-            F.col("taxid").alias("id_0"),
-            F.coalesce("name", F.lit(UNKNOWN_NAME)).alias("label_0"),
-            F.coalesce("rank", F.lit(NO_RANK)).alias("mapped_rank"),
-            "tally",
-            "n_children",
-            *[expr.alias(name) for name, expr in answers.items()],
-        )
-    )
+    found = attach(tally, tree.answers(RANKS, ladder.CASCADE), "taxid")
+    above = [F.col(f"found_{k}") for k in range(1, len(RANKS) + 1)]
+    return stage(found.select(F.col("taxid").alias("id_0"), "tally", "n_children", *above, "top"))
 
 
-def _edges(wide: DataFrame) -> DataFrame:
-    """Child-to-parent steps above the accession level, tallies summed per step."""
-    steps = []
-    for k, rank in enumerate(RANKS, 1):
-        upper = F.col(f"id_{k + 1}") if k < len(RANKS) else F.lit(None).cast("bigint")
-        steps.append(
-            F.struct(
-                F.lit(rank).alias("rank_level"),
-                F.col(f"id_{k}").alias("taxid"),
-                upper.alias("parent_taxid"),
-                F.col(f"label_{k}").alias("rank_name"),
-                F.col(f"id_{k - 1}").alias("child"),
-                F.col("tally").alias("tally"),
+def _levels(wide: DataFrame) -> list[DataFrame]:
+    """The rollup's levels from the lowest: id_<k>, tally, n_children, found_<k + 1>.., top.
+
+    Each is made of the one below: what lies above an answer depends on the answer only, so
+    one group per answer carries it on. A level that is needed twice is shuffled once.
+    """
+    levels, last = [wide], len(RANKS)
+    for k in range(1, last + 1):
+        below = levels[-1].withColumn(f"id_{k}", ladder.answer_id(k))
+        above = [f"found_{j}" for j in range(k + 1, last + 1)]
+        # Whether the id was found or stands in for a missing answer is the same for all its rows.
+        levels.append(
+            below.groupBy(f"id_{k}").agg(
+                F.sum("tally").alias("tally"),
+                F.count(F.lit(1)).alias("n_children"),
+                *[F.max(c).alias(c) for c in (f"found_{k}", *above, "top")],
             )
         )
-    return (
-        wide.select(F.inline(F.array(*steps)))
-        .groupBy("rank_level", "taxid", "parent_taxid", "rank_name", "child")
-        .agg(F.sum("tally").alias("tally"))
-    )
+    return levels
 
 
 def rank_rollup(resolved: DataFrame, tree: DataFrame | Taxonomy) -> DataFrame:
@@ -73,23 +59,34 @@ def rank_rollup(resolved: DataFrame, tree: DataFrame | Taxonomy) -> DataFrame:
     rank_name, mapped_rank (accession level only), tally, n_children. Each level's
     tallies add up to the number of accepted hits.
     """
-    wide = _cascade(resolved, tree)
-    lowest = wide.select(
-        F.lit(LEVELS[0]).alias("rank_level"),
-        F.col("id_0").alias("taxid"),
-        F.col("id_1").alias("parent_taxid"),
-        F.col("label_0").alias("rank_name"),
-        "mapped_rank",
-        "tally",
-        "n_children",
-    )
-    upper = (
-        _edges(wide)
-        .groupBy("rank_level", "taxid", "parent_taxid", "rank_name")
-        .agg(F.sum("tally").alias("tally"), F.count(F.lit(1)).alias("n_children"))
-        .withColumn("mapped_rank", F.lit(None).cast("string"))
-    )
-    return lowest.unionByName(upper)
+    tree = as_taxonomy(tree)
+    levels = _levels(_wide(resolved, tree))
+    out = None
+    for k, level in enumerate(levels):
+        parent = ladder.answer_id(k + 1) if k < len(RANKS) else F.lit(None).cast("bigint")
+        if k == 0:
+            nodes = derived(
+                tree.nodes.select(
+                    F.col("taxid").alias("_id"), F.col("name").alias("_name"), F.col("rank").alias("_rank")
+                ),
+                tree.nodes,
+            )
+            named = lookup(level, nodes, "id_0", "_id", staged=True)
+            label, mapped = F.coalesce("_name", F.lit(UNKNOWN_NAME)), F.coalesce("_rank", F.lit(NO_RANK))
+        else:
+            named = with_names(level, tree, RANKS, [k])
+            label, mapped = ladder.answer_label(k), F.lit(None).cast("string")
+        rows = named.select(
+            F.lit(LEVELS[k]).alias("rank_level"),
+            F.col(f"id_{k}").alias("taxid"),
+            parent.alias("parent_taxid"),
+            label.alias("rank_name"),
+            mapped.alias("mapped_rank"),
+            "tally",
+            "n_children",
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def rollup_children(resolved: DataFrame, tree: DataFrame | Taxonomy) -> DataFrame:
@@ -102,7 +99,13 @@ def rollup_children(resolved: DataFrame, tree: DataFrame | Taxonomy) -> DataFram
     lowest = resolved.select(
         F.lit(LEVELS[0]).alias("rank_level"), "taxid", F.col("acc_ver").alias("child")
     )
-    upper = _edges(_cascade(resolved, tree)).select(
-        "rank_level", "taxid", F.col("child").cast("string").alias("child")
-    )
-    return lowest.unionByName(upper)
+    levels = _levels(_wide(resolved, as_taxonomy(tree)))
+    for k, level in enumerate(levels[:-1]):
+        lowest = lowest.unionByName(
+            level.select(
+                F.lit(RANKS[k]).alias("rank_level"),
+                ladder.answer_id(k + 1).alias("taxid"),
+                F.col(f"id_{k}").cast("string").alias("child"),
+            )
+        )
+    return lowest

@@ -9,26 +9,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Bytes of a row and of a value that has no fixed width, beside what they hold.
-ROW_BYTES, VALUE_BYTES = 32, 16
+# Bytes of a row, of a value of fixed width, and of any other beside what it holds.
+ROW_BYTES, FIXED_BYTES, VALUE_BYTES = 48, 8, 16
 
 
 @dataclass(frozen=True)
 class Counted:
-    """What was counted while a table was written."""
+    """What was counted while a table was written, and in `parts` of it."""
 
     rows: int
     total_bytes: int
     widest_row: int
-    measures: dict
+    measures: dict = field(default_factory=dict)
+    parts: dict = field(default_factory=dict)
+
+    def __add__(self, other: Counted) -> Counted:
+        return Counted(
+            self.rows + other.rows, self.total_bytes + other.total_bytes, max(self.widest_row, other.widest_row)
+        )
+
 
 _local_folders: dict[str, tempfile.TemporaryDirectory] = {}
 _scopes: dict[str, str] = {}
@@ -76,34 +83,64 @@ def _width(col: Column, kind: T.DataType) -> Column:
         for field in kind.fields:
             total = total + _width(col[field.name], field.dataType)
         return total
-    return F.lit(16).cast("long")
+    return F.lit(FIXED_BYTES).cast("long")
 
 
-def stage(df: DataFrame, path: str | None = None, **measures: Column) -> DataFrame:
+def row_width(df: DataFrame) -> Column:
+    """Bytes of a row in memory, from above."""
+    width = F.lit(ROW_BYTES).cast("long")
+    for column in df.schema.fields:
+        width = width + _width(F.col(f"`{column.name}`"), column.dataType)
+    return width
+
+
+def stage(
+    df: DataFrame,
+    path: str | None = None,
+    parts: Mapping[str, Column] | None = None,
+    by: str | None = None,
+    **measures: Column,
+) -> DataFrame:
     """Write `df` once and return the written table, with its size counted on the way.
 
+    `parts` are conditions; the rows that meet one are counted by themselves, see `part_of`.
+    `by` is a column whose values get folders of their own; it comes last in what is returned.
     `measures` are further aggregates to take along.
     """
     spark = df.sparkSession
     path = path or fresh_path(spark)
-    width = F.lit(ROW_BYTES).cast("long")
-    for field in df.schema.fields:
-        width = width + _width(F.col(f"`{field.name}`"), field.dataType)
+    width = row_width(df)
+    counts = [F.count(F.lit(1)).alias("rows"), F.sum(width).alias("total"), F.max(width).alias("widest")]
+    for name, condition in (parts or {}).items():
+        own = F.when(condition, width)
+        counts += [F.count(own).alias(f"rows {name}"), F.sum(own).alias(f"total {name}"), F.max(own).alias(f"widest {name}")]
     seen = Observation()
-    df.observe(
-        seen,
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(width).alias("total"),
-        F.max(width).alias("widest"),
-        *[value.alias(name) for name, value in measures.items()],
-    ).write.parquet(path)
-    staged = spark.read.schema(df.schema).parquet(path)
+    writer = df.observe(seen, *counts, *[value.alias(name) for name, value in measures.items()]).write
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    schema = T.StructType(sorted(df.schema.fields, key=lambda f: f.name == by))
+    staged = spark.read.schema(schema).parquet(path)
     found = seen.get
+
+    def known(mark: str) -> tuple:
+        return found[f"rows{mark}"], found[f"total{mark}"] or 0, found[f"widest{mark}"] or 0
+
     taken = {name: found[name] for name in measures}
-    staged._counted = Counted(found["rows"], found["total"] or 0, found["widest"] or 0, taken)
+    inner = {name: Counted(*known(f" {name}")) for name in parts or {}}
+    staged._counted = Counted(*known(""), taken, inner)
     return staged
 
 
+def sized(df: DataFrame, known: Counted | None) -> DataFrame:
+    """Say what bounds the size of `df`."""
+    df._counted = known
+    return df
+
+
+def part_of(staged: DataFrame, name: str, condition: Column) -> DataFrame:
+    """The rows of a staged table that meet the condition counted as its part `name`."""
+    return sized(staged.where(condition), counted(staged).parts[name])
+
+
 def counted(df: DataFrame) -> Counted | None:
     """What is known of a staged table, or of one `derived` from it."""
     return getattr(df, "_counted", None)
@@ -111,8 +148,7 @@ def counted(df: DataFrame) -> Counted | None:
 
 def derived(df: DataFrame, source: DataFrame) -> DataFrame:
     """Say that `df` holds only rows and columns of `source`, so that its size bounds `df`'s."""
-    df._counted = counted(source)
-    return df
+    return sized(df, counted(source))
 
 
 def remove(spark: SparkSession, path: str) -> None:

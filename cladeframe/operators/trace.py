@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import ladder
 from ..schemas import NO_RANK, RANKS
 from .joins import lookup
-from .lineage import Taxonomy, as_taxonomy
+from .lineage import Taxonomy, as_taxonomy, with_names
 from .staging import derived, stage
 
 
@@ -45,13 +45,17 @@ def trace_table(
     are staged, so Spark broadcasts either if it is small, and have unique keys, so
     no key is hot if neither is.
     """
+    tree = as_taxonomy(tree)
+    ranks = list(ranks)
     wanted = stage(seeds.select("taxid").where(F.col("taxid").isNotNull()).distinct())
-    closed = as_taxonomy(tree).ladders(ranks).join(wanted, "taxid")
+    nodes = tree.nodes.select("taxid", "name", "parent", "rank")
+    found = wanted.join(nodes, "taxid").join(tree.answers(ranks, mode), "taxid")
+    found = with_names(found, tree, ranks, range(len(ranks) + 1))
     columns = [F.col(c) for c in ("taxid", "name", "parent", "rank")]
     for k, rank in enumerate(ranks, 1):
         columns.append(ladder.answer_id(k).alias(f"{rank}_taxid"))
         columns.append(ladder.answer_name(k).alias(f"{rank}_name"))
-    return ladder.with_positions(closed, ranks, mode).select(*columns)
+    return found.select(*columns)
 
 
 def trace_filter(trace: DataFrame, rank: str, keep: bool = True) -> DataFrame:
