@@ -32,6 +32,7 @@ from .operators.report import (
 )
 from .operators.rollup import rank_rollup, rollup_children, taxid_tally
 from .operators.staging import clear, scope, stage
+from .operators.subtrees import accessions_below, cluster_accessions
 from .operators.trace import (
     accessions_per_taxid,
     annotate_hits,
@@ -47,21 +48,32 @@ from .sources.readers import (
     accession_rejects,
     build_tree,
     hash_input,
+    hash_rejects,
+    names_rejects,
+    nodes_rejects,
     read_accession_map,
     read_hits,
     read_names,
     read_nodes,
     read_trace,
     read_tree,
+    scan_accession_map,
+    scan_hash_lines,
+    scan_names,
+    scan_nodes,
+    scan_tree,
     tree_rejects,
 )
+from .sources.settle import Settled, settle
 from .sources.writers import (
     register,
     save_accession_table,
+    save_trace_table,
     write_accession_map,
     write_hashes,
     write_lines,
     write_trace,
+    write_trace_store,
     write_tree,
     write_tree_csv,
 )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ladder
-from ..schemas import NO_RANK, RANKS
+from ..schemas import NO_RANK, RANK_FOLDER, RANK_MARK, RANKS
 from .joins import lookup
 from .lineage import Taxonomy, as_taxonomy, with_names
 from .staging import derived, stage
@@ -59,13 +59,20 @@ def trace_table(
 
 
 def trace_filter(trace: DataFrame, rank: str, keep: bool = True) -> DataFrame:
-    """Rows of a trace table with (or, if not `keep`, without) the given rank."""
-    return trace.where(F.col("rank") == rank if keep else F.col("rank") != rank)
+    """Rows of a trace table with (or, if not `keep`, without) the given rank.
+
+    Of a trace store only the folders of such ranks are read.
+    """
+    kept = trace.where(F.col("rank") == rank if keep else F.col("rank") != rank)
+    if RANK_FOLDER not in trace.columns:
+        return kept
+    folder, wanted = F.col(RANK_FOLDER), F.lit(f"{RANK_MARK}{rank}")
+    return kept.where(folder == wanted if keep else folder != wanted).drop(RANK_FOLDER)
 
 
 def trace_of(trace: DataFrame, taxid: int) -> DataFrame:
-    """The row of one taxid."""
-    return trace.where(F.col("taxid") == taxid)
+    """The row of one taxid; of a trace store the files' ranges and bloom filters leave one to read."""
+    return trace.where(F.col("taxid") == taxid).drop(RANK_FOLDER)
 
 
 def trace_counts(trace: DataFrame) -> DataFrame:
@@ -77,12 +84,14 @@ def trace_counts(trace: DataFrame) -> DataFrame:
     )
 
 
-def annotate_hits(resolved: DataFrame, trace: DataFrame) -> DataFrame:
+def annotate_hits(resolved: DataFrame, trace: DataFrame, stored: bool = False) -> DataFrame:
     """Resolved accessions (acc_ver, freq, taxid) beside their lineage columns.
 
-    Accessions without a trace keep null lineage columns.
+    Accessions without a trace keep null lineage columns. A `trace` that is stored already (a
+    bucketed table, say) is taken as it stands; see `stored`.
     """
-    trace = stage(trace)
+    if not stored:
+        trace = stage(trace)
     lineage = [c for c in trace.columns if c != "taxid"]
     dim = derived(trace.withColumnRenamed("taxid", "_id"), trace)
     return lookup(resolved, dim, "taxid", "_id").select(*resolved.columns, *lineage)

@@ -97,6 +97,26 @@ def odd_tree_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def odd_name_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a names dump that must be refused: line."""
+    return table(spark, sf_dir, "orders").where("o_orderkey % 4 < 3").selectExpr(
+        "CASE o_orderkey % 4"
+        " WHEN 0 THEN concat('x', o_orderkey, '\t|\tno number\t|\t\t|\tscientific name\t|')"
+        " WHEN 1 THEN concat(o_orderkey, '\t|\tshort')"
+        " ELSE concat(o_orderkey, '\t|\ta tab\tinside\t|\t\t|\tscientific name\t|') END AS line"
+    )
+
+
+def odd_node_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a nodes dump that must be refused: line."""
+    return table(spark, sf_dir, "orders").where("o_orderkey % 4 < 3").selectExpr(
+        "CASE o_orderkey % 4"
+        " WHEN 0 THEN concat(o_orderkey, '\t|\tnone\t|\tspecies\t|')"
+        " WHEN 1 THEN concat(o_orderkey, '|1|species|')"
+        " ELSE concat('x', o_orderkey, '\t|\t1\t|\tspecies\t|') END AS line"
+    )
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line; the accession is field 3 when split on a bar."""
     return table(spark, sf_dir, "lineitem").selectExpr(

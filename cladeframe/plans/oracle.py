@@ -44,6 +44,20 @@ _CTES = {
     FROM orders WHERE o_orderkey % 7 = 1
   UNION ALL SELECT 'accession', 'EX_' || o_orderkey || '.1', o_orderkey, 5
     FROM orders WHERE o_orderkey % 7 = 6""",
+    # Lines of dumps that must be refused.
+    "refused_names": """
+  SELECT CASE o_orderkey % 4
+      WHEN 0 THEN concat_ws(chr(9), 'x' || o_orderkey, '|', 'no number', '|', '', '|', 'scientific name', '|')
+      WHEN 1 THEN concat_ws(chr(9), o_orderkey, '|', 'short')
+      ELSE concat_ws(chr(9), o_orderkey, '|', 'a tab', 'inside', '|', '', '|', 'scientific name', '|') END AS line,
+    CASE o_orderkey % 4 WHEN 0 THEN 'bad_taxid' ELSE 'wrong_columns' END AS reject_reason
+  FROM orders WHERE o_orderkey % 4 < 3""",
+    "refused_nodes": """
+  SELECT CASE o_orderkey % 4 WHEN 0 THEN concat_ws(chr(9), o_orderkey, '|', 'none', '|', 'species', '|')
+      WHEN 1 THEN o_orderkey || '|1|species|'
+      ELSE concat_ws(chr(9), 'x' || o_orderkey, '|', '1', '|', 'species', '|') END AS line,
+    CASE o_orderkey % 4 WHEN 0 THEN 'bad_parent' WHEN 1 THEN 'wrong_columns' ELSE 'bad_taxid' END AS reject_reason
+  FROM orders WHERE o_orderkey % 4 < 3""",
     # Lines with their accession.
     "parsed": """
   SELECT line,
@@ -267,6 +281,23 @@ ORACLE: dict[str, str] = {
   CASE o_orderkey % 5 WHEN 1 THEN 'bad_taxid' WHEN 3 THEN 'bad_parent' ELSE 'wrong_columns' END
     AS reject_reason
   FROM orders WHERE o_orderkey % 5 <> 0""",
+        "names_rejects": "SELECT line, reject_reason FROM refused_names",
+        "nodes_rejects": "SELECT line, reject_reason FROM refused_nodes",
+        "hash_rejects": """SELECT 'OR_' || o_orderkey || chr(9) || '1' AS line,
+  'wrong_columns' AS reject_reason FROM orders""",
+        "settled_accessions": "SELECT acc, acc_ver, taxid, gi FROM scanned_map",
+        "line_verdicts": """SELECT 'accessions' AS file, 'kept' AS verdict, count(*) AS n FROM scanned_map
+  UNION ALL SELECT 'accessions', CASE o_orderkey % 7 WHEN 2 THEN 'bad_taxid' WHEN 5 THEN 'bad_gi'
+    ELSE 'wrong_columns' END AS why, count(*) FROM orders WHERE o_orderkey % 7 IN (2, 3, 4, 5) GROUP BY why
+  UNION ALL SELECT 'tree', 'kept', (SELECT count(*) FROM tree) + (SELECT count(*) FROM orders WHERE o_orderkey % 5 = 0)
+  UNION ALL SELECT 'tree', CASE o_orderkey % 5 WHEN 1 THEN 'bad_taxid' WHEN 3 THEN 'bad_parent'
+    ELSE 'wrong_columns' END AS why, count(*) FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY why
+  UNION ALL SELECT 'names', 'kept', count(*) + count_if(taxid % 3 = 0) + count_if(taxid % 7 = 0) FROM tree
+  UNION ALL SELECT 'names', reject_reason, count(*) FROM refused_names GROUP BY reject_reason
+  UNION ALL SELECT 'nodes', 'kept', count_if(taxid % 19 <> 0) + count_if(taxid % 19 <> 0 AND taxid % 29 = 0) FROM tree
+  UNION ALL SELECT 'nodes', reject_reason, count(*) FROM refused_nodes GROUP BY reject_reason
+  UNION ALL SELECT 'hashes', 'kept', count(*) FROM acc_taxid
+  UNION ALL SELECT 'hashes', 'wrong_columns', count(*) FROM orders""",
         "tree_parquet": "SELECT taxid, name, parent, rank FROM tree",
         "hit_file_scan": "SELECT line, acc_ver, reject_reason FROM parsed",
         "build_tree": """SELECT taxid, name,
@@ -319,6 +350,11 @@ ORACLE: dict[str, str] = {
         "parent_hops": f"""SELECT {_HOPS} FROM tree h0
   JOIN tree h1 ON h1.taxid = h0.parent JOIN tree h2 ON h2.taxid = h1.parent
   JOIN tree h3 ON h3.taxid = h2.parent""",
+        "nth_parent": """SELECT i.taxid, coalesce(w.taxid, p.top) AS ancestor
+  FROM ids i LEFT JOIN tip p ON p.seed = i.taxid LEFT JOIN walk w ON w.seed = i.taxid AND w.depth = 5""",
+        "subtree_accessions": """SELECT DISTINCT CAST(2003 AS BIGINT) AS taxid, m.acc_ver
+  FROM acc_taxid m JOIN (SELECT descendant FROM pairs WHERE taxid = 2003 UNION ALL SELECT 2003) d
+    ON m.taxid = d.descendant""",
         "distinct_taxids": "SELECT DISTINCT taxid FROM acc_taxid",
         "accessions_per_taxid": "SELECT taxid, count(*) AS count FROM acc_taxid GROUP BY taxid",
         "seed_join": """SELECT taxid, name, parent, rank FROM tree
@@ -340,6 +376,8 @@ ORACLE: dict[str, str] = {
         "trace_filter_not": "SELECT * FROM trace WHERE rank <> 'species'",
         "trace_point": "SELECT * FROM trace WHERE taxid = 1000000001",
         "trace_species_parquet": "SELECT * FROM trace WHERE rank = 'species'",
+        "trace_store_filter": "SELECT * FROM trace WHERE rank = 'species'",
+        "trace_store_point": "SELECT * FROM trace WHERE taxid = 1000000001",
         "trace_view_sql": """SELECT rank, species_taxid, count(taxid) AS n FROM trace
   GROUP BY rank, species_taxid""",
         "accession_stores": "SELECT acc_ver, freq, taxid, taxid AS bucketed_taxid FROM resolved",
@@ -355,6 +393,10 @@ ORACLE: dict[str, str] = {
         "annotate_hits": """SELECT r.acc_ver, r.freq, r.taxid, t.name, t.parent, t.rank,
   t.species_taxid, t.species_name, t.genus_taxid, t.genus_name, t.family_taxid, t.family_name,
   t.superkingdom_taxid, t.superkingdom_name
+  FROM resolved r LEFT JOIN trace t ON t.taxid = r.taxid""",
+        "annotate_hits_stored": """SELECT r.acc_ver, r.freq, r.taxid, t.name, t.parent, t.rank,
+  t.species_taxid, t.species_name, t.genus_taxid, t.genus_name, t.family_taxid, t.family_name,
+  t.superkingdom_taxid, t.superkingdom_name
   FROM resolved r LEFT JOIN trace t ON t.taxid = r.taxid""",
         "taxid_tally": "SELECT taxid, tally, n_children FROM tally",
         "rank_rollup": """SELECT rank_level, taxid, parent_taxid, rank_name, mapped_rank, tally,

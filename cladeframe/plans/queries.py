@@ -18,6 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 SEP, COL = "|", 3
 LIMIT = 2
 HOPS = 3
+LEVELS_UP = 5
+FAMILY = 2003
 FIRST_ORDER = 1_000_000_001
 
 
@@ -116,7 +118,8 @@ def hit_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cf.parse_hits(cf.read_hits(spark, [f"{path}/{i}" for i in range(3)]), SEP, COL)
 
 
-def build_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dump_files(spark: SparkSession, sf_dir: str) -> str:
+    """Names and nodes dumps of the derived tree, with lines that must be refused."""
     path = fresh_path(spark)
     tree = derived.tree(spark, sf_dir)
     name_line = "concat_ws('\t', taxid, '|', {}, '|', '', '|', '{}', '|') AS line"
@@ -137,12 +140,54 @@ def build_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed.where("taxid % 29 = 0").selectExpr(node_line.format("parent", "rank")).write.text(
         f"{path}/nodes-1"
     )
+    derived.odd_name_lines(spark, sf_dir).write.text(f"{path}/names-2")
+    derived.odd_node_lines(spark, sf_dir).write.text(f"{path}/nodes-2")
+    return path
+
+
+def _dump(path: str, kind: str) -> list[str]:
+    return [f"{path}/{kind}-{i}" for i in range(3)]
+
+
+def build_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _dump_files(spark, sf_dir)
     return cf.build_tree(
-        cf.read_names(spark, [f"{path}/names-0", f"{path}/names-1"]),
-        cf.read_nodes(spark, [f"{path}/nodes-0", f"{path}/nodes-1"]),
+        cf.read_names(spark, _dump(path, "names")), cf.read_nodes(spark, _dump(path, "nodes"))
     )
 
 
+def names_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cf.names_rejects(spark, _dump(_dump_files(spark, sf_dir), "names"))
+
+
+def nodes_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cf.nodes_rejects(spark, _dump(_dump_files(spark, sf_dir), "nodes"))
+
+
+def line_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of accession files, tree files, dumps and hash input by verdict, each file scanned once."""
+    path = _dump_files(spark, sf_dir)
+    settled = {
+        "accessions": cf.settle(cf.scan_accession_map(spark, _accession_files(spark, sf_dir), headers=True)),
+        "tree": cf.settle(cf.scan_tree(spark, _tree_files(spark, sf_dir))),
+        "names": cf.settle(cf.scan_names(spark, _dump(path, "names"))),
+        "nodes": cf.settle(cf.scan_nodes(spark, _dump(path, "nodes"))),
+        "hashes": cf.settle(cf.scan_hash_lines(_hash_lines(spark, sf_dir), headers=True)),
+    }
+    out = None
+    for name, both in settled.items():
+        kept = both.kept.groupBy().agg(F.count("*").alias("n")).select(F.lit("kept").alias("verdict"), "n")
+        gone = both.rejects.groupBy(F.col("reject_reason").alias("verdict")).agg(F.count("*").alias("n"))
+        part = kept.unionByName(gone).select(F.lit(name).alias("file"), "verdict", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def settled_accessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accession map as kept by a scan that writes rows and refused lines at once."""
+    return cf.settle(cf.scan_accession_map(spark, _accession_files(spark, sf_dir), headers=True)).kept
+
+
 def hit_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cf.hit_rejects(_parsed(spark, sf_dir))
 
@@ -238,6 +283,18 @@ def parent_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cf.parent_hops(derived.tree(spark, sf_dir), HOPS)
 
 
+def nth_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = derived.tree(spark, sf_dir)
+    return cf.nth_parent(_ids(tree), tree, LEVELS_UP)
+
+
+def subtree_accessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accessions of one family, as a slice of the map laid out by subtree."""
+    path = fresh_path(spark)
+    cf.cluster_accessions(derived.acc_taxid(spark, sf_dir), derived.tree(spark, sf_dir), path)
+    return cf.accessions_below(spark, path, FAMILY)
+
+
 def distinct_taxids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cf.distinct_taxids(derived.acc_taxid(spark, sf_dir))
 
@@ -279,6 +336,23 @@ def trace_species_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cf.read_trace(spark, path)
 
 
+def _trace_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace store, of which one rank has been written once more."""
+    path = fresh_path(spark)
+    trace = cf.stage(trace_table(spark, sf_dir))
+    cf.write_trace_store(trace, path)
+    cf.write_trace_store(cf.trace_filter(trace, "species"), path)
+    return cf.read_trace(spark, path)
+
+
+def trace_store_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cf.trace_filter(_trace_store(spark, sf_dir), "species")
+
+
+def trace_store_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cf.trace_of(_trace_store(spark, sf_dir), FIRST_ORDER)
+
+
 def trace_view_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     cf.register(trace_table(spark, sf_dir), "trace_of_orders")
     return spark.sql(
@@ -305,6 +379,13 @@ def annotate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cf.annotate_hits(_resolved(spark, sf_dir), trace_table(spark, sf_dir))
 
 
+def annotate_hits_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the trace table stored in buckets of taxids."""
+    name = f"trace_{fresh_path(spark).rsplit('/', 1)[-1]}"
+    cf.save_trace_table(trace_table(spark, sf_dir), name, 8)
+    return cf.annotate_hits(_resolved(spark, sf_dir), spark.table(name), stored=True)
+
+
 def taxid_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cf.taxid_tally(_resolved(spark, sf_dir))
 
@@ -353,15 +434,24 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cf.report_summary(hit_counters(spark, sf_dir), "sales", "orders as taxa")
 
 
-def key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes of an accession file with a header, CR line ends and short lines, by way of a TSV."""
-    path = fresh_path(spark)
+def _hash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an accession file with a header, CR line ends and short lines."""
     lines = derived.acc_taxid(spark, sf_dir).selectExpr(
         "concat(concat_ws('\t', acc, acc_ver, taxid, gi), IF(gi % 3 = 0, '\r', '')) AS line"
     )
     short = derived.table(spark, sf_dir, "orders").selectExpr("concat('OR_', o_orderkey, '\t1') AS line")
     header = spark.range(1).selectExpr("concat_ws('\t', 'accession', 'accession.version', 'taxid', 'gi')")
-    cf.write_hashes(cf.key_hash(cf.hash_input(lines.union(short).union(header))), path)
+    return lines.union(short).union(header)
+
+
+def hash_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cf.hash_rejects(_hash_lines(spark, sf_dir))
+
+
+def key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of an accession file by way of a TSV."""
+    path = fresh_path(spark)
+    cf.write_hashes(cf.key_hash(cf.hash_input(_hash_lines(spark, sf_dir))), path)
     return spark.read.csv(path, sep="\t", schema="acc_hash bigint, acc_ver_hash bigint, taxid bigint")
 
 
@@ -376,6 +466,11 @@ QUERIES: dict[str, Query] = {
     "build_tree": build_tree,
     "accession_rejects": accession_rejects,
     "tree_rejects": tree_rejects,
+    "names_rejects": names_rejects,
+    "nodes_rejects": nodes_rejects,
+    "hash_rejects": hash_rejects,
+    "line_verdicts": line_verdicts,
+    "settled_accessions": settled_accessions,
     "tree_parquet": tree_parquet,
     "hit_file_scan": hit_file_scan,
     "parse_hits": _parsed,
@@ -400,6 +495,8 @@ QUERIES: dict[str, Query] = {
     "descendants": descendants,
     "descendant_accessions": descendant_accessions,
     "parent_hops": parent_hops,
+    "nth_parent": nth_parent,
+    "subtree_accessions": subtree_accessions,
     "distinct_taxids": distinct_taxids,
     "accessions_per_taxid": accessions_per_taxid,
     "seed_join": seed_join,
@@ -409,10 +506,13 @@ QUERIES: dict[str, Query] = {
     "trace_filter_not": trace_filter_not,
     "trace_point": trace_point,
     "trace_species_parquet": trace_species_parquet,
+    "trace_store_filter": trace_store_filter,
+    "trace_store_point": trace_store_point,
     "trace_view_sql": trace_view_sql,
     "trace_counts": trace_counts,
     "table_counts": table_counts,
     "annotate_hits": annotate_hits,
+    "annotate_hits_stored": annotate_hits_stored,
     "taxid_tally": taxid_tally,
     "rank_rollup": rank_rollup,
     "rollup_children": rollup_children,

@@ -41,3 +41,6 @@ FOUND = "found"
 TOP = "top"
 UNRESOLVED = "unresolved"
 CYCLE = "cycle"
+
+# Column that a trace store is partitioned by, and the mark in front of the rank in it.
+RANK_FOLDER, RANK_MARK = "rank_folder", "r:"

@@ -19,6 +19,8 @@ from ..schemas import ACCESSION_MAP, TREE
 HEADER_WORD = "accession"
 # Why a line is left out.
 WRONG_COLUMNS, BAD_TAXID, BAD_PARENT, BAD_GI = "wrong_columns", "bad_taxid", "bad_parent", "bad_gi"
+# What a line is that is neither kept nor refused.
+HEADER = "header"
 # Fixed value: the class of names that go into the tree.
 SCIENTIFIC_NAME = "scientific name"
 
@@ -31,12 +33,6 @@ def _number(col: Column) -> Column:
     return strip(col).try_cast("bigint")
 
 
-def _tab_fields(spark: SparkSession, paths: str | Sequence[str], count: int) -> DataFrame:
-    """TAB-separated text as string columns _0.._<count-1>; quotes mean nothing."""
-    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(count)])
-    return spark.read.csv(_paths(paths), sep="\t", quote="", schema=schema)
-
-
 def _file_order() -> Column:
     """Sorts rows as they stand in their files, files by path."""
     return F.struct(
@@ -46,15 +42,24 @@ def _file_order() -> Column:
     )
 
 
+def _without_headers(lines: DataFrame, header: Column, reason: Column, keep: bool) -> DataFrame:
+    """Judged lines, headers left out or marked as such."""
+    if keep:
+        return lines.withColumn("reject_reason", F.when(header, HEADER).otherwise(reason))
+    return lines.where(~header).withColumn("reject_reason", reason)
+
+
 def read_hits(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Hit files, one line per row: value."""
     return spark.read.text(_paths(paths))
 
 
-def scan_accession_map(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def scan_accession_map(
+    spark: SparkSession, paths: str | Sequence[str], headers: bool = False
+) -> DataFrame:
     """Every line of accession files but headers: acc, acc_ver, taxid, gi, line, reject_reason.
 
-    A header is a line whose first field is exactly the header word and whose taxid is no
+    With `headers` they are there too, with reason `header`. A header is a line whose first field is exactly the header word and whose taxid is no
     number. Lines without four fields, or without a number where one must be, have a
     reason and no values; an empty or NULL gi is none. An empty first field is kept.
     """
@@ -76,7 +81,7 @@ def scan_accession_map(spark: SparkSession, paths: str | Sequence[str]) -> DataF
         .when(F.col("taxid").isNull(), BAD_TAXID)
         .when(F.col("gi").isNull() & ~no_gi, BAD_GI)
     )
-    judged = named.where(~(header & F.col("taxid").isNull())).withColumn("reject_reason", reason)
+    judged = _without_headers(named, header & F.col("taxid").isNull(), reason, headers)
     return judged.select(
         *[F.when(F.col("reject_reason").isNull(), F.col(c)).alias(c) for c in ACCESSION_MAP.names],
         "line",
@@ -95,10 +100,10 @@ def accession_rejects(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     return scanned.where("reject_reason is not null").select("line", "reject_reason")
 
 
-def scan_tree(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def scan_tree(spark: SparkSession, paths: str | Sequence[str], headers: bool = False) -> DataFrame:
     """Every record of a quoted tree CSV but headers: taxid, name, parent, rank, line, reject_reason.
 
-    A header is a record that holds exactly the column names. Records without four
+    With `headers` they are there too, with reason `header`. A header is a record that holds exactly the column names. Records without four
     fields, or without a number as taxid or parent, have a reason and no values. An
     empty field is an empty text, not null.
     """
@@ -113,7 +118,7 @@ def scan_tree(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     header = F.lit(True)
     for name in TREE.names:
         header = header & (F.coalesce(F.col(name), F.lit("")) == name)
-    judged = rows.where(~header).withColumns(
+    named = rows.withColumns(
         {
             "_id": _number(F.col("taxid")),
             "_parent": _number(F.col("parent")),
@@ -125,7 +130,7 @@ def scan_tree(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         .when(F.col("_id").isNull(), BAD_TAXID)
         .when(F.col("_parent").isNull(), BAD_PARENT)
     )
-    judged = judged.withColumn("reject_reason", reason)
+    judged = _without_headers(named, header, reason, headers)
     good = F.col("reject_reason").isNull()
     return judged.select(
         F.when(good, F.col("_id")).alias("taxid"),
@@ -153,24 +158,92 @@ def tree_rejects(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return scan_tree(spark, paths).where("reject_reason is not null").select("line", "reject_reason")
 
 
-def read_names(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Names dump: taxid, name, name_class, position (order in the files)."""
-    return _tab_fields(spark, paths, 7).select(
-        _number(F.col("_0")).alias("taxid"),
-        F.coalesce("_2", F.lit("")).alias("name"),
-        F.col("_6").alias("name_class"),
-        _file_order().alias("position"),
+def _scan_dump(spark: SparkSession, paths: str | Sequence[str], fields: int) -> DataFrame:
+    """Lines of a dump: line, position, _f (its TAB fields), _whole (are field ends where they belong?).
+
+    A field of a dump ends in TAB, bar, TAB, the last one in TAB and bar. So every second TAB field
+    is a bar; one that is not tells of a field too few, too many or with a TAB in it.
+    """
+    lines = spark.read.text(_paths(paths)).select(F.col("value").alias("line"), _file_order().alias("position"))
+    parts = lines.withColumn("_f", F.split(chomp(F.col("line")), "\t"))
+    needed = 2 * fields - 1
+    whole = F.size("_f") >= needed
+    for i in range(1, needed + 1, 2):
+        whole = whole & (F.coalesce(F.get("_f", F.lit(i)), F.lit("|")) == "|")
+    return parts.withColumn("_whole", whole)
+
+
+def scan_names(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Every line of a names dump: taxid, name, name_class, position, line, reject_reason.
+
+    A line without four fields, or without a number as taxid, has a reason and no values.
+    """
+    parts = _scan_dump(spark, paths, 4).withColumn("_id", _number(F.get("_f", F.lit(0))))
+    reason = F.when(~F.col("_whole"), WRONG_COLUMNS).when(F.col("_id").isNull(), BAD_TAXID)
+    judged = parts.withColumn("reject_reason", reason)
+    good = F.col("reject_reason").isNull()
+    return judged.select(
+        F.when(good, F.col("_id")).alias("taxid"),
+        F.when(good, F.get("_f", F.lit(2))).alias("name"),
+        F.when(good, F.get("_f", F.lit(6))).alias("name_class"),
+        "position",
+        "line",
+        "reject_reason",
     )
 
 
-def read_nodes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Nodes dump: taxid, parent, rank, position (order in the files)."""
-    return _tab_fields(spark, paths, 5).select(
-        _number(F.col("_0")).alias("taxid"),
-        _number(F.col("_2")).alias("parent"),
-        F.coalesce("_4", F.lit("")).alias("rank"),
-        _file_order().alias("position"),
+def scan_nodes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Every line of a nodes dump: taxid, parent, rank, position, line, reject_reason.
+
+    Only the first three fields are used. A line without them, or without a number as taxid or
+    parent, has a reason and no values.
+    """
+    parts = _scan_dump(spark, paths, 3).withColumns(
+        {"_id": _number(F.get("_f", F.lit(0))), "_parent": _number(F.get("_f", F.lit(2)))}
+    )
+    reason = (
+        F.when(~F.col("_whole"), WRONG_COLUMNS)
+        .when(F.col("_id").isNull(), BAD_TAXID)
+        .when(F.col("_parent").isNull(), BAD_PARENT)
     )
+    judged = parts.withColumn("reject_reason", reason)
+    good = F.col("reject_reason").isNull()
+    return judged.select(
+        F.when(good, F.col("_id")).alias("taxid"),
+        F.when(good, F.col("_parent")).alias("parent"),
+        F.when(good, F.get("_f", F.lit(4))).alias("rank"),
+        "position",
+        "line",
+        "reject_reason",
+    )
+
+
+def _kept(scanned: DataFrame) -> DataFrame:
+    return scanned.where("reject_reason is null").drop("line", "reject_reason")
+
+
+def _refused(scanned: DataFrame) -> DataFrame:
+    return scanned.where("reject_reason is not null").select("line", "reject_reason")
+
+
+def read_names(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Names dump: taxid, name, name_class, position (order in the files). See `names_rejects`."""
+    return _kept(scan_names(spark, paths))
+
+
+def names_rejects(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Lines that `read_names` leaves out: line, reject_reason."""
+    return _refused(scan_names(spark, paths))
+
+
+def read_nodes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Nodes dump: taxid, parent, rank, position (order in the files). See `nodes_rejects`."""
+    return _kept(scan_nodes(spark, paths))
+
+
+def nodes_rejects(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Lines that `read_nodes` leaves out: line, reject_reason."""
+    return _refused(scan_nodes(spark, paths))
 
 
 def build_tree(names: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -200,13 +273,32 @@ def read_trace(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def hash_input(lines: DataFrame, sep: str = "\t") -> DataFrame:
-    """Lines fit for key hashing: acc, acc_ver, taxid of lines with four fields.
+def scan_hash_lines(lines: DataFrame, sep: str = "\t", headers: bool = False) -> DataFrame:
+    """Lines for key hashing but headers: acc, acc_ver, taxid (as text), line, reject_reason.
 
-    Header lines and lines with fewer fields are dropped.
+    A line needs four fields; what stands in them does not matter. A header is what it is in
+    accession files; with `headers` it is there too, with reason `header`.
     """
-    parts = lines.select(F.split(chomp(F.col(lines.columns[0])), re.escape(sep)).alias("_f"))
-    kept = parts.where((F.size("_f") >= 4) & (F.get("_f", F.lit(0)) != HEADER_WORD))
-    return kept.select(
-        *[F.get("_f", F.lit(i)).alias(c) for i, c in enumerate(("acc", "acc_ver", "taxid"))]
+    text = F.col(lines.columns[0])
+    parts = lines.select(text.alias("line"), F.split(chomp(text), re.escape(sep)).alias("_f"))
+    fields = [F.get("_f", F.lit(i)) for i in range(3)]
+    header = (fields[0] == HEADER_WORD) & _number(fields[2]).isNull()
+    reason = F.when(F.size("_f") < 4, WRONG_COLUMNS)
+    judged = _without_headers(parts, F.coalesce(header, F.lit(False)), reason, headers)
+    good = F.col("reject_reason").isNull()
+    names = ("acc", "acc_ver", "taxid")
+    return judged.select(
+        *[F.when(good, value).alias(name) for name, value in zip(names, fields, strict=True)],
+        "line",
+        "reject_reason",
     )
+
+
+def hash_input(lines: DataFrame, sep: str = "\t") -> DataFrame:
+    """Lines fit for key hashing: acc, acc_ver, taxid of lines with four fields. See `hash_rejects`."""
+    return _kept(scan_hash_lines(lines, sep))
+
+
+def hash_rejects(lines: DataFrame, sep: str = "\t") -> DataFrame:
+    """Lines that `hash_input` leaves out, headers aside: line, reject_reason."""
+    return _refused(scan_hash_lines(lines, sep))

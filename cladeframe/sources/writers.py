@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import RANK_FOLDER, RANK_MARK
+
 
 def write_trace(trace: DataFrame, path: str, rank: str | None = None) -> None:
     """Trace table, or only its rows of one rank, as Parquet; replaces what was there."""
@@ -41,20 +43,41 @@ def write_accession_map(acc_map: DataFrame, path: str) -> None:
     )
 
 
-def save_accession_table(acc_map: DataFrame, name: str, buckets: int) -> None:
-    """Accession map as a table bucketed on acc_ver.
+def save_accession_table(acc_map: DataFrame, name: str, buckets: int, spread: int = 1) -> None:
+    """Accession map as a table bucketed on acc_ver, rows that repeat included.
 
     Joins and aggregations on acc_ver then read the map without shuffling it, once
-    per bucket. Use it where many reports run against one map. Copies of a row are
-    stored once, and rows are dealt by the whole row: a bucket may then consist of
-    several files, but an accession with many rows is no single task's.
+    per bucket. Use it where many reports run against one map. Rows are dealt to tasks by their
+    bucket, so that a bucket is one file; `spread` deals those of every bucket to so many tasks
+    and files, for maps in which one accession has very many rows.
+    """
+    salt = F.pmod(F.xxhash64(*acc_map.columns), F.lit(spread))
+    dealt = acc_map.repartition(buckets * spread, F.pmod(F.hash("acc_ver"), F.lit(buckets)), salt)
+    dealt.write.mode("overwrite").bucketBy(buckets, "acc_ver").sortBy("acc_ver").saveAsTable(name)
+
+
+def save_trace_table(trace: DataFrame, name: str, buckets: int) -> None:
+    """Trace table bucketed on taxid, of which it has one row each; joins on taxid do not shuffle it."""
+    dealt = trace.repartition(buckets, F.pmod(F.hash("taxid"), F.lit(buckets)))
+    dealt.write.mode("overwrite").bucketBy(buckets, "taxid").sortBy("taxid").saveAsTable(name)
+
+
+def write_trace_store(trace: DataFrame, path: str) -> None:
+    """Trace table for filters by rank and by taxid: a folder a rank, ranged on taxid inside.
+
+    Only the folders of ranks that `trace` holds are replaced, so one rank can be written again
+    alone. Files hold narrow ranges of taxid and a bloom filter each. The folder's name is the
+    rank with a mark in front, as an empty rank has no folder; `rank` itself stays a column.
     """
+    placed = trace.withColumn(RANK_FOLDER, F.concat(F.lit(RANK_MARK), F.coalesce("rank", F.lit(""))))
     (
-        acc_map.distinct()
+        placed.repartitionByRange(RANK_FOLDER, "taxid")
+        .sortWithinPartitions(RANK_FOLDER, "taxid")
         .write.mode("overwrite")
-        .bucketBy(buckets, "acc_ver")
-        .sortBy("acc_ver")
-        .saveAsTable(name)
+        .option("partitionOverwriteMode", "dynamic")
+        .option("parquet.bloom.filter.enabled#taxid", "true")
+        .partitionBy(RANK_FOLDER)
+        .parquet(path)
     )
 
 

@@ -154,6 +154,58 @@ def test_parent_hops(spark, case):
     assert rows(found.selectExpr("parent_t0 - taxid_t1 AS d").distinct()) == [(0,)]
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 13])
+def test_nth_parent(spark, case, n):
+    taxonomy, walker, ids, keys = case
+    expected = []
+    for x in ids:
+        at = x if x in walker.node else None
+        for _ in range(n):
+            at = walker.node[at][1] if at in walker.node else None
+        expected.append((x, at if at in walker.node else None))
+    assert rows(cf.nth_parent(keys, taxonomy, n)) == sorted(expected, key=repr)
+
+
+def test_intervals_nest(spark, case):
+    """Numbers are unique, and a node's range holds exactly what is below it."""
+    taxonomy, walker, _, _ = case
+    place = {r["taxid"]: (r["entry"], r["size"]) for r in taxonomy.intervals().collect()}
+    assert len({entry for entry, _ in place.values()}) == len(place)
+    below = {}
+    for x in walker.node:
+        if walker.chain(x)[1] != "cycle":
+            for a in walker.above(x):
+                below.setdefault(a, set()).add(x)
+    for x, (entry, size) in place.items():
+        assert {y for y, (e, _) in place.items() if entry < e < entry + size} == below.get(x, set())
+
+
+def test_a_climb_writes_no_row_twice(spark, monkeypatch):
+    """Rounds carry open rows of bounded width; what they finish is not written again."""
+    from cladeframe.operators import climb as module
+
+    size = 3000
+    tree = [(i, f"n{i}", max(i - 1, 1), RANKS[i % 4]) for i in range(1, size)]
+    taxonomy = cf.Taxonomy(spark.createDataFrame(tree, TREE))
+    written = []
+
+    def spy(df, *args, **kwargs):
+        staged = cf.stage(df, *args, **kwargs)
+        written.append(module.counted(staged))
+        return staged
+
+    monkeypatch.setattr(module, "stage", spy)
+    monkeypatch.setattr(module, "within_broadcast", lambda df: False)
+    answers = taxonomy.answers(RANKS, cf.CASCADE)
+    assert answers.count() == size - 1
+    opened = [w.parts["open"].rows for w in written if "open" in w.parts]
+    finished = [w.parts["done"].rows for w in written if "open" in w.parts]
+    assert opened == sorted(opened, reverse=True) and opened[-1] == 0
+    assert sum(finished) == size - 3
+    # The same width whatever the stretch has met.
+    assert max(w.widest_row for w in written) <= 48 + 8 * (5 + 11) + 16
+
+
 @pytest.mark.parametrize("mode", [cf.CASCADE, cf.DIRECT])
 def test_trace_table(spark, case, mode):
     taxonomy, walker, ids, keys = case
