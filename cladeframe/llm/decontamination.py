@@ -3,13 +3,16 @@
 A benchmark item of m words is looked for in all windows of m words of every document; a
 document of fewer words is one window of its whole text.
 Items and windows are multisets of word n-grams; their similarity is the weighted Jaccard
-sum of minima / sum of maxima of the n-grams' counts.
+sum of minima / sum of maxima of the n-grams' counts. An n-gram is taken together with how many
+equal ones stand before it, so a multiset is a set, the similarity that set's Jaccard, and
+n-grams that repeat weigh in a fingerprint as they do in the similarity.
 
-A window can only reach the similarity if enough of its n-grams belong to items of its
-size; that exact bound leaves few windows. They and the items get 64-bit SimHash
+A window can only reach the similarity with an item if enough of its n-grams are the item's; that
+exact bound, taken of each pair of document and item, leaves few windows and for each
+few items. Windows and items get 64-bit SimHash
 fingerprints, cut into one block more than the radius: fingerprints within the radius
-agree in some block, so a join on blocks finds them all. Candidates are verified by
-their exact similarity. Equal windows are searched for once.
+agree in some block, so a join on blocks finds them all among those pairs. Candidates are verified
+by their exact similarity. Equal windows are searched for once.
 
 Defined results: words are lower-case runs of letters and digits; an item of fewer than n
 words is one n-gram of all its words, an item without words (null included) matches
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.staging import stage
 from .selecting import named
-from .words import plain_words
+from .words import free_name, plain_words
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -75,15 +78,18 @@ def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
     )
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard of two multisets of hashes."""
+def numbered(ngrams: Column) -> Column:
+    """A multiset of hashes as a set: each hashed with how many equal ones stand before it."""
+    plain = F.transform(ngrams, lambda x: F.xxhash64(x, F.lit(0)))
+    earlier = F.transform(
+        ngrams, lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(ngrams, F.lit(1), i), lambda y: y == x)))
+    )
+    return F.when(F.size(F.array_distinct(ngrams)) == F.size(ngrams), plain).otherwise(earlier)
 
-    def times(array: Column, x: Column) -> Column:
-        return F.size(F.filter(array, lambda y: y == x))
 
-    common = F.aggregate(
-        F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(times(a, x), times(b, x))
-    )
+def similarity(a: Column, b: Column) -> Column:
+    """Jaccard of two sets of hashes, which for numbered n-grams is the multisets' weighted one."""
+    common = F.size(F.array_intersect(a, b))
     return common / (F.size(a) + F.size(b) - common)
 
 
@@ -121,63 +127,68 @@ def contaminated(
 def _matches(docs: DataFrame, items: DataFrame, n: int, least: float, radius: int) -> DataFrame:
     """Windows of documents that match items whose n-grams have `n` words."""
     known = stage(
-        items.select("item_id", "size", _ngrams(F.col("words"), n).alias("item_grams")).withColumn(
-            "item_print", simhash(F.col("item_grams"))
-        )
+        items.select("item_id", "size", _ngrams(F.col("words"), n).alias("plain"))
+        .withColumn("item_grams", numbered(F.col("plain")))
+        .withColumn("item_print", simhash(F.col("item_grams")))
     )
-    grams = stage(known.select("size", F.explode("item_grams").alias("gram")).distinct())
+    grams = stage(known.select("item_id", "size", F.explode(F.array_distinct("plain")).alias("gram")))
     if grams.count() <= BROADCAST_ROWS:
         grams = F.broadcast(grams)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     listed = texts.select("doc_id", _ngrams(plain_words(F.col("text")), n).alias("grams"))
     hits = listed.select("doc_id", F.size("grams").alias("_all"), F.posexplode("grams").alias("pos", "gram")).join(grams, "gram")
-    # n-grams in an item and in a window, and how many of the window's at least are in an
-    # item that reaches `least`; of fewer than `least` times the item's, all are too few.
+    # How many n-grams of a window at least are an item's if the two reach `least`; of a document
+    # with fewer than `least` times the item's, all are too few.
     inside = F.col("size") - (n - 1)
     span = F.least(inside, F.col("_all"))
-    needed = F.ceil((inside + F.col("_span")) * (least / (1 + least)) - 1e-9)
-    windows = (
+    needed = F.ceil((inside + span) * (least / (1 + least)) - 1e-9).cast("int")
+    met = (
         hits.where(F.col("_all") >= inside * least - 1e-9)
-        .withColumn("_span", span)
-        .withColumn(
-            "start",
-            F.explode(
-                F.sequence(
-                    F.greatest(F.col("pos") - F.col("_span") + 1, F.lit(0)),
-                    F.least(F.col("pos"), F.col("_all") - F.col("_span")),
-                )
-            ),
-        )
-        .groupBy("doc_id", "size", "start", "_span")
-        .agg(F.count(F.lit(1)).alias("_hits"))
-        .where(F.col("_hits") >= needed)
+        .groupBy("doc_id", "_all", "item_id", "size")
+        .agg(F.sort_array(F.collect_set("pos")).alias("_at"))
+        .withColumns({"_span": span, "_needed": needed})
+        .where(F.size("_at") >= F.col("_needed"))
+    )
+    # A window has enough hits if it holds one of them and the next needed - 1.
+    first = F.sequence(F.lit(0), F.size("_at") - F.col("_needed"))
+    held = F.transform(
+        F.filter(first, lambda i: F.get("_at", i + F.col("_needed") - 1) - F.get("_at", i) < F.col("_span")),
+        lambda i: F.sequence(
+            F.greatest(F.get("_at", i + F.col("_needed") - 1) - F.col("_span") + 1, F.lit(0)),
+            F.least(F.get("_at", i), F.col("_all") - F.col("_span")),
+        ),
+    )
+    starts = F.array_distinct(F.flatten(held))
+    wanted = stage(
+        met.select("doc_id", "item_id", "size", starts.alias("starts"))
+        .where(F.size("starts") > 0)
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("item_id", "size", "starts")).alias("at"))
     )
-    wanted = stage(windows.groupBy("doc_id").agg(F.collect_list(F.struct("size", "start")).alias("at")))
     cut = (
         named(texts, wanted.select("doc_id"))
         .join(wanted, "doc_id")
-        .select("doc_id", _ngrams(plain_words(F.col("text")), n).alias("grams"), "at")
-        .select("doc_id", "grams", F.explode("at").alias("at"))
-        .select(
-            "doc_id",
-            F.col("at.size").alias("size"),
-            F.col("at.start").alias("start"),
-            F.slice("grams", F.col("at.start") + 1, F.col("at.size") - (n - 1)).alias("grams"),
-        )
+        .select("doc_id", _ngrams(plain_words(F.col("text")), n).alias("grams"), F.explode("at").alias("at"))
+        .select("doc_id", "grams", "at.item_id", "at.size", F.explode("at.starts").alias("start"))
+        .withColumn("grams", F.slice("grams", F.col("start") + 1, F.col("size") - (n - 1)))
         .withColumn("c1", F.xxhash64("grams"))
         .withColumn("c2", F.xxhash64(F.lit(1), "grams"))
     )
     placed = stage(cut)
     content = ["size", "c1", "c2"]
     contents = stage(
-        placed.groupBy(*content).agg(F.any_value("grams").alias("grams")).withColumn("print", simhash(F.col("grams")))
+        placed.groupBy(*content)
+        .agg(F.any_value("grams").alias("grams"))
+        .withColumn("grams", numbered(F.col("grams")))
+        .withColumn("print", simhash(F.col("grams")))
     )
-    left = contents.select(*content, "print", F.posexplode(blocks(F.col("print"), radius)).alias("block", "value"))
+    pairs = placed.select(*content, "item_id").distinct().join(contents.select(*content, "print"), content)
+    left = pairs.select(*content, "item_id", "print", F.posexplode(blocks(F.col("print"), radius)).alias("block", "value"))
     right = known.select(
         "item_id", "size", "item_print", F.posexplode(blocks(F.col("item_print"), radius)).alias("block", "value")
     )
     candidates = (
-        left.join(right, ["size", "block", "value"])
+        left.join(right, ["item_id", "size", "block", "value"])
         .where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
         .select(*content, "item_id")
         .distinct()
@@ -189,12 +200,13 @@ def _matches(docs: DataFrame, items: DataFrame, n: int, least: float, radius: in
         .where(F.col("similarity") >= least)
         .select(*content, "item_id", "similarity")
     )
-    return placed.select("doc_id", "start", *content).distinct().join(verified, content).select(
+    return placed.select("doc_id", "item_id", "start", *content).distinct().join(verified, [*content, "item_id"]).select(
         "doc_id", "item_id", "similarity", "start"
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    bad = free_name(docs, "_bad")
+    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(bad)).distinct()
+    return docs.join(found, F.col("doc_id") == F.col(bad), "left_anti")

@@ -36,11 +36,12 @@ ORACLE: dict[str, str] = {
                       FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i
                             FROM docs, (SELECT DISTINCT n FROM wanted) WHERE len(w) >= n)),
         hits AS (SELECT doc_id, item_id, size, times, pos, total, d.g FROM doc_grams d JOIN wanted i ON d.g = i.g AND d.n = i.n),
-        windows AS (SELECT *, unnest(range(greatest(0, pos - size + 1), least(pos, total - size) + 1)) AS start FROM hits),
-        matched AS (SELECT doc_id, item_id, start, size, CAST(sum(least(seen, times)) AS BIGINT) AS common
-                    FROM (SELECT doc_id, item_id, start, size, times, g, count(*) AS seen FROM windows GROUP BY ALL)
+        windows AS (SELECT *, unnest(range(greatest(0, pos - span + 1), least(pos, total - span) + 1)) AS start
+                    FROM (SELECT *, least(size, total) AS span FROM hits)),
+        matched AS (SELECT doc_id, item_id, start, size, span, CAST(sum(least(seen, times)) AS BIGINT) AS common
+                    FROM (SELECT doc_id, item_id, start, size, span, times, g, count(*) AS seen FROM windows GROUP BY ALL)
                     GROUP BY ALL),
-        judged AS (SELECT *, common / (2 * size - common) AS similarity FROM matched)
+        judged AS (SELECT *, common / (size + span - common) AS similarity FROM matched)
         SELECT doc_id, item_id, max(similarity) AS similarity,
                CAST(arg_min(start, (-similarity, start)) AS INTEGER) AS start, count(*) AS n_windows
         FROM judged WHERE similarity >= 0.8 GROUP BY doc_id, item_id
