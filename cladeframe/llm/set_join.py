@@ -13,6 +13,12 @@ in practice; sets connected that way meet once more, with all their tokens, for
 similarity. That second meeting holds every pair of a connected group, so a link between
 members is found even where no run brought its two sets together.
 
+So a large bucket need not be split if its sets are connected already. The members of a large
+bucket are compared with its smallest id, one comparison a member; together with the links of
+small buckets that gives provisional groups, and a bucket of one group only goes no deeper. Buckets
+that hold sets of several groups are split as ever. A group of many near copies thus meets its
+paths of one level instead of all levels.
+
 Defined results: a text with fewer words than n is one n-gram of all its words; a text
 without words, null included, and a row without doc_id has no set: it links with nothing
 and stays. Documents with equal sets are one class and link with each other. Rows that
@@ -31,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.staging import stage
+from ..operators.joins import lookup
+from ..operators.staging import counted, derived, stage
 from .components import cells, components, in_cells, local_roots
 from .samples import flat_lists
 from .selecting import named
@@ -128,6 +135,50 @@ def _sketch(tokens: np.ndarray) -> bytes:
     return (_mix(least) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
+def _stars(members: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of the members (path, id, size, sketch) of buckets with the smallest id of each, by sketch."""
+    first = stage(members.groupBy("path").agg(F.min(F.struct("id", "size", "sketch")).alias("first")))
+    heads = derived(first.select(F.col("path").alias("_of"), "first"), first)
+    beside = lookup(members, heads, "path", "_of", "inner", staged=True).select(
+        F.col("id").alias("a"),
+        "size",
+        "sketch",
+        F.col("first.id").alias("b"),
+        F.col("first.size").alias("size_b"),
+        F.col("first.sketch").alias("sketch_b"),
+    )
+    beside = beside.where("a <> b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            a, size, sketch, b, size_b, sketch_b = (batch.column(i) for i in range(6))
+            mine, head = (
+                np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (sketch, sketch_b)
+            )
+            size, size_b = np.asarray(size), np.asarray(size_b)
+            alike = (mine == head).sum(1) >= _sketch_bar(similarity) * SKETCH
+            alike &= np.minimum(size, size_b) >= similarity * np.maximum(size, size_b)
+            yield pa.RecordBatch.from_arrays([a.filter(pa.array(alike)), b.filter(pa.array(alike))], ["a", "b"])
+
+    return stage(beside.mapInArrow(run, "a bigint, b bigint").distinct())
+
+
+def _sketch_bar(similarity: float) -> float:
+    """Share of equal sketch bytes from which on two sets may be similar enough."""
+    return similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / SKETCH)
+
+
+def _unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Paths (as before) of large buckets whose members (path, id) are of more than one group (id, component)."""
+    known = derived(groups.withColumnRenamed("id", "_id"), groups)
+    placed = lookup(members, known, "id", "_id", staged=True)
+    group = F.coalesce("component", "id")
+    ends = placed.groupBy("path").agg(F.min(group).alias("_low"), F.max(group).alias("_high"))
+    return ends.where("_low < _high").select(F.col("path").alias("before"))
+
+
 def _word_hashes(text: Column) -> Column:
     return F.transform(word_array(text), lambda w: F.xxhash64(w))
 
@@ -212,7 +263,7 @@ def set_join(
         .dropDuplicates(["id"])
         .select("id", "size", "copies", "sketch")
     )
-    bar = similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / SKETCH)
+    bar = _sketch_bar(similarity)
 
     def by_sketch(cell: pa.Table) -> pa.Table:
         ids = np.asarray(cell.column("id"))
@@ -228,7 +279,7 @@ def set_join(
 
     walk = F.arrays_zip("levels", "befores", "paths")
     reps = sets.select("id")
-    candidates, large = None, None
+    candidates, large, provisional = None, None, None
     for level in range(1, LEVELS + 1):
         step = (
             digests.select(F.col("doc_id").alias("id"), F.explode(walk).alias("w"))
@@ -240,12 +291,19 @@ def set_join(
         step = stage(step.join(reps, "id", "left_semi").select("id", "path").distinct())
         sizes = stage(step.groupBy("path").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
         met = sizes if level == LEVELS else sizes.where(F.col("_n") <= small_bucket)
-        large = sizes.where(F.col("_n") > small_bucket).select(F.col("path").alias("before"))
+        large = sizes.where(F.col("_n") > small_bucket).select("path")
         small = step.join(met.select("path"), "path", "left_semi").join(sets, "id")
         dealt = cells(small.select("id", "size", "sketch", "path"), F.col("path"), "id", F.lit(1), block_sets)
         pairs = stage(in_cells(dealt, by_sketch, "a bigint, b bigint").where("a <> b").distinct())
         candidates = pairs if candidates is None else candidates.unionByName(pairs)
-        if large.isEmpty():
+        if level == LEVELS or large.isEmpty():
+            break
+        members = stage(step.join(large, "path", "left_semi").join(sets.select("id", "size", "sketch"), "id"))
+        if provisional is None:
+            candidates = candidates.unionByName(_stars(members, similarity))
+            provisional = stage(components(candidates))
+        large = stage(_unsettled(members.select("path", "id"), provisional))
+        if counted(large).rows == 0:
             break
     groups = stage(components(candidates))
 
