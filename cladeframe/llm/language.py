@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .samples import Adam, fetched, flat_bytes, pick, sigmoid
-from .words import crc_fold
+from .samples import Adam, fitted_in_task, flat_bytes, one_each, pick, sigmoid
+from .words import crc_fold, free_name
 
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3, 4)
 # The bounds of the training sample.
 PER_LANGUAGE = 400
+MOST_LANGUAGES, MOST_TEXTS = 512, 8000
 LONGEST_TEXT = 16_384
 # Bits of the code when there are too many languages for the exhaustive one.
 RANDOM_BITS = 31
@@ -142,26 +143,49 @@ class CodeModel:
         return self
 
 
-def train_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> CodeModel:
-    """Fit on at most `per_language` texts of each language outside the held-out fold.
+def train_language(
+    docs: DataFrame,
+    per_language: int = PER_LANGUAGE,
+    longest: int = LONGEST_TEXT,
+    most_languages: int = MOST_LANGUAGES,
+    most_texts: int = MOST_TEXTS,
+) -> CodeModel:
+    """Fit, in a task, on at most `per_language` texts of each language outside the held-out fold.
 
-    The rows of a language with the smallest seeded hash of their id are taken.
+    The ids of a language with the smallest seeded hash are taken, each once however many rows
+    repeat it; an id that stands with several languages counts for the smallest. The sample
+    is bounded: texts of up to `longest` bytes, the `most_languages` commonest languages,
+    and `most_texts` in all.
     """
-    known = docs.where(
-        F.col("lang").isNotNull()
-        & F.coalesce("text", F.lit("")).rlike(r"\p{L}")
-        & (F.octet_length("text") <= LONGEST_TEXT)
-        & (crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    ).select("doc_id", "lang")
-    picked = pick(known, "lang", per_language)
+    known = (
+        docs.where(
+            F.col("lang").isNotNull()
+            & F.coalesce("text", F.lit("")).rlike(r"\p{L}")
+            & (F.octet_length("text") <= longest)
+            & (crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+        )
+        .groupBy("doc_id")
+        .agg(F.min("lang").alias("lang"))
+    )
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    names = [r["lang"] for r in common.collect()]
+    if not names:
+        return CodeModel([])
+    most = max(1, min(per_language, most_texts // len(names)))
+    picked = pick(known.where(F.col("lang").isin(names)), "lang", most)
     languages = sorted(set(picked.values()))
     model = CodeModel(languages)
     if len(languages) < 2:
         return model
-    frame = fetched(docs, picked)
-    texts = [t.encode() for t in frame["text"]]
-    langs = [languages.index(x) for x in frame["_class"]]
-    return model.fit(texts, np.array(langs))
+
+    def fit(frame) -> dict:
+        frame = frame.sort_values("doc_id", ignore_index=True)
+        texts = [t.encode() for t in frame["text"]]
+        return vars(model.fit(texts, np.array([languages.index(x) for x in frame["_class"]])))
+
+    letters = docs.where(F.octet_length("text") <= longest)
+    model.__dict__.update(fitted_in_task(one_each(letters, picked, ["text"]), fit))
+    return model
 
 
 def with_language(
@@ -183,12 +207,13 @@ def with_language(
             ["lang", "score", "unsure"],
         )
 
+    guess, has = free_name(docs, "_found"), free_name(docs, "_letters")
     letters = F.coalesce("text", F.lit("")).rlike(r"\p{L}")
-    found = docs.withColumn("_found", predict("text")).withColumn("_letters", letters)
+    found = docs.withColumn(guess, predict("text")).withColumn(has, letters)
     return found.withColumns(
         {
-            column: F.when(F.col("_letters"), F.col("_found.lang")).otherwise(UNKNOWN),
-            score: F.when(F.col("_letters"), F.col("_found.score")).otherwise(0.0),
-            flag: F.col("_letters") & F.col("_found.unsure"),
+            column: F.when(F.col(has), F.col(f"{guess}.lang")).otherwise(UNKNOWN),
+            score: F.when(F.col(has), F.col(f"{guess}.score")).otherwise(0.0),
+            flag: F.col(has) & F.col(f"{guess}.unsure"),
         }
-    ).drop("_found", "_letters")
+    ).drop(guess, has)

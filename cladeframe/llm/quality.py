@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .samples import PER_CLASS, Adam, class_weights, fetched, flat_bytes, labelled, sigmoid
+from .samples import LONGEST_TEXT, PER_CLASS, Adam, class_weights, fitted_in_task, flat_bytes, labelled, one_each, sigmoid
 
 WIDTH = 6
 DIM = 8
@@ -163,16 +163,23 @@ class ByteConv:
         return [d_embed, d_filters, d_block.sum(1), d_out, d_shift]
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ByteConv:
-    """Fit the network on a bounded sample of labelled rows outside the held-out fold."""
-    picked, share = labelled(docs, labels, "quality", FOLDS, HELD_OUT, per_class)
+def train_quality(
+    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST_TEXT
+) -> ByteConv:
+    """Fit the network, in a task, on a bounded sample of labelled rows outside the held-out fold."""
+    picked, share = labelled(docs, labels, "quality", FOLDS, HELD_OUT, per_class, longest)
     model = ByteConv(share)
     if len(set(picked.values())) < 2:
         return model
-    frame = fetched(docs, picked)
-    y = frame["_class"].to_numpy(np.float32)
-    texts = [(t or "").encode() for t in frame["text"]]
-    return model.fit(texts, y, class_weights(y, share))
+
+    def fit(frame) -> dict:
+        frame = frame.sort_values("doc_id", ignore_index=True)
+        y = frame["_class"].to_numpy(np.float32)
+        texts = [(t or "").encode() for t in frame["text"]]
+        return vars(model.fit(texts, y, class_weights(y, share)))
+
+    model.__dict__.update(fitted_in_task(one_each(docs, picked, ["text"]), fit))
+    return model
 
 
 def with_quality(docs: DataFrame, model: ByteConv, column: str = "score") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.staging import fresh_path
@@ -24,13 +24,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(module) -> Column:
+    """Is the document in the fold that is not learned from? One without doc_id never is learned from."""
+    return F.coalesce(crc_fold(F.col("doc_id"), module.FOLDS) == module.HELD_OUT, F.lit(True)).alias("held_out")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; the bar is 0.3."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     scored = quality.with_quality(docs.select("doc_id", "text"), quality.train_quality(docs, labels))
     return scored.select(
         "doc_id",
-        (crc_fold(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT).alias("held_out"),
+        _held_out(quality),
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
@@ -80,7 +85,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.with_language(docs.select("doc_id", "text"), language.train_language(docs))
     return found.select(
         "doc_id",
-        (crc_fold(F.col("doc_id"), language.FOLDS) == language.HELD_OUT).alias("held_out"),
+        _held_out(language),
         "lang_pred",
         "score",
         "ambiguous",
@@ -111,7 +116,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.with_toxicity(docs.select("doc_id", "text", "lang"), model)
     return scored.select(
         "doc_id",
-        (crc_fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT).alias("held_out"),
+        _held_out(toxicity),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         toxicity.toxicity_threshold(model, F.col("lang")).alias("threshold"),

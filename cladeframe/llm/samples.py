@@ -26,11 +26,13 @@ def labelled(
     folds: int,
     held_out: int,
     per_class: int = PER_CLASS,
+    longest: int = LONGEST_TEXT,
 ) -> tuple[dict, float]:
     """A bounded sample of learnable labelled ids, and the share of label 1 among all of them.
 
     Learnable are the documents whose crc32 fold is not `held_out`. Of each class the
-    `per_class` rows with the smallest seeded hash of their id are taken. A document
+    `per_class` ids with the smallest seeded hash are taken, each once however many rows repeat
+    it; texts of more than `longest` bytes are not learned from. A document
     labelled more than once has its smallest label. Returns {doc_id: label} and
     the share.
     """
@@ -39,9 +41,9 @@ def labelled(
         .groupBy("doc_id")
         .agg(F.min(label).cast("int").alias("label"))
     )
-    usable = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST_TEXT)
+    usable = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= longest)
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    picked = pick(usable.select("doc_id").join(known, "doc_id"), "label", per_class)
+    picked = pick(known.join(usable.select("doc_id"), "doc_id", "left_semi"), "label", per_class)
     n = sum(counts.values())
     return picked, counts.get(1, 0) / n if n else 0.5
 
@@ -49,8 +51,8 @@ def labelled(
 def pick(rows: DataFrame, group: str, most: int) -> dict:
     """For each `group` the `most` ids with the smallest seeded hash: {doc_id: group}.
 
-    Ids only. A cut-off that four times as many ids are expected to stay below keeps what
-    is ranked small, however many tasks there are; groups are few.
+    `rows` has one row per id, and groups are few. Ids only. A cut-off that four times as many ids are
+    expected to stay below keeps what is ranked small, however many tasks there are.
     """
     sizes = {r[group]: r["n"] for r in rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 40)) / (1 << 40)
@@ -66,11 +68,20 @@ def pick(rows: DataFrame, group: str, most: int) -> dict:
     return {r["doc_id"]: r[group] for r in ranked.collect()}
 
 
-def fetched(docs: DataFrame, picked: dict, columns: tuple[str, ...] = ("text",)):
-    """The rows of the picked ids as a pandas frame in order of id, with their group as `_class`."""
-    rows = docs.where(F.col("doc_id").isin(list(picked))).select("doc_id", *columns).toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
-    return rows.assign(_class=rows["doc_id"].map(picked))
+def one_each(docs: DataFrame, picked: dict, columns: list[str]) -> DataFrame:
+    """One row for each picked id: doc_id, its group as `_class`, and the columns.
+
+    Of rows that repeat an id the smallest (columns in order) counts; they are reduced in every task
+    before anything moves. The ids are those of a bounded sample and are sent to every task.
+    """
+    spark = docs.sparkSession
+    kind = "string" if any(isinstance(v, str) for v in picked.values()) else "int"
+    ids = spark.createDataFrame(list(picked.items()), f"_id bigint, _class {kind}")
+    own = docs.select("doc_id", F.struct(*columns).alias("_row"))
+    named = own.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    return named.groupBy("doc_id", "_class").agg(F.min("_row").alias("_row")).select(
+        "doc_id", "_class", *[F.col(f"_row.{c}").alias(c) for c in columns]
+    )
 
 
 def fitted_in_task(rows: DataFrame, fit) -> dict:

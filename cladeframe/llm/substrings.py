@@ -31,7 +31,7 @@ from ..operators.staging import stage
 from .anchors import anchor_places, repeated, rolled
 from .samples import flat_lists
 from .selecting import beside, named
-from .words import word_array
+from .words import free_name, word_array
 
 WINDOW = 50
 GRAM = 10
@@ -208,16 +208,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cell
     return settled.unionByName(late.select("doc_id", "start", F.lit(1).alias("n")))
 
 
-def _cover(spans: DataFrame) -> DataFrame:
-    """All spans of a document as two arrays; no longer than the document is."""
-    return stage(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_spans")))
+def _cover(spans: DataFrame, name: str) -> DataFrame:
+    """All spans of a document as an array called `name`; no longer than the document is."""
+    return stage(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias(name)))
 
 
 def dedup_substrings(
     docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int = CELLS
 ) -> DataFrame:
     """Add n_words, n_removed and `kept_text` (the kept words, joined by one space) to `docs`."""
-    spans = _cover(repeated_spans(docs, window, gram, cells))
+    listed, done = free_name(docs, "_spans"), free_name(docs, "_cut")
+    spans = _cover(repeated_spans(docs, window, gram, cells), listed)
 
     def run(words: list[str], begin, length) -> tuple[str, int]:
         mark = np.zeros(len(words) + 1, np.int64)
@@ -242,10 +243,11 @@ def dedup_substrings(
 
     words = word_array(F.col("text"))
     whole = beside(docs, spans)
+    none = F.array().cast("array<struct<start:int,n:int>>")
     return (
         whole.withColumn("n_words", F.size(words).cast("long"))
-        .withColumn("_cut", F.when(F.col("_spans").isNotNull(), cut(words, F.coalesce("_spans", F.array().cast("array<struct<start:int,n:int>>")))))
-        .withColumn("n_removed", F.coalesce("_cut.removed", F.lit(0)).cast("long"))
-        .withColumn("kept_text", F.coalesce("_cut.text", F.array_join(words, " ")))
-        .drop("_spans", "_cut")
+        .withColumn(done, F.when(F.col(listed).isNotNull(), cut(words, F.coalesce(listed, none))))
+        .withColumn("n_removed", F.coalesce(f"{done}.removed", F.lit(0)).cast("long"))
+        .withColumn("kept_text", F.coalesce(f"{done}.text", F.array_join(words, " ")))
+        .drop(listed, done)
     )

@@ -32,6 +32,7 @@ from ..operators.staging import stage
 from .anchors import anchor_places, repeated, rolled, scramble
 from .samples import flat_bytes, flat_lists
 from .selecting import beside, named, unnamed
+from .words import free_name
 
 WINDOW = 100
 GRAM = 32
@@ -293,12 +294,18 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     )
 
 
-def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Add n_bytes, n_removed, n_spans (maximal removed runs) and `kept` (the bytes left)."""
+def dedup_bytes(
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, whole_characters: bool = False
+) -> DataFrame:
+    """Add n_bytes, n_removed, n_spans (maximal removed runs) and `kept` (the bytes left).
+
+    With `whole_characters` a character goes if any of its bytes does, so that what is left is text.
+    """
+    listed, done = free_name(docs, "_spans"), free_name(docs, "_cut")
     spans = stage(
         repeated_windows(docs, window, gram)
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
+        .agg(F.collect_list(F.struct("start", "n")).alias(listed))
     )
 
     @F.arrow_udf("struct<kept: binary, removed: bigint, spans: bigint>")
@@ -314,6 +321,10 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
             np.add.at(mark, np.minimum(begin[part], len(own)), 1)
             np.add.at(mark, np.minimum(begin[part] + n[part] + window - 1, len(own)), -1)
             gone = np.cumsum(mark)[:-1] > 0
+            if whole_characters and gone.any():
+                begins = (own & 0xC0) != 0x80
+                begins[0] = True
+                gone = np.logical_or.reduceat(gone, np.flatnonzero(begins))[np.cumsum(begins) - 1]
             kept.append(own[~gone].tobytes())
             removed.append(int(gone.sum()))
             runs.append(int((gone & ~np.concatenate(([False], gone[:-1]))).sum()))
@@ -323,10 +334,10 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
     whole = beside(docs, spans)
     none = F.array().cast("array<struct<start:int,n:int>>")
     return (
-        whole.withColumn("_cut", F.when(F.col("_spans").isNotNull(), cut("text", F.coalesce("_spans", none))))
+        whole.withColumn(done, F.when(F.col(listed).isNotNull(), cut("text", F.coalesce(listed, none))))
         .withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.coalesce("_cut.removed", F.lit(0)).cast("long"))
-        .withColumn("n_spans", F.coalesce("_cut.spans", F.lit(0)).cast("long"))
-        .withColumn("kept", F.coalesce("_cut.kept", F.coalesce("text", F.lit("")).cast("binary")))
-        .drop("_spans", "_cut")
+        .withColumn("n_removed", F.coalesce(f"{done}.removed", F.lit(0)).cast("long"))
+        .withColumn("n_spans", F.coalesce(f"{done}.spans", F.lit(0)).cast("long"))
+        .withColumn("kept", F.coalesce(f"{done}.kept", F.coalesce("text", F.lit("")).cast("binary")))
+        .drop(listed, done)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A word is a longest run of anything but ASCII white space.
@@ -32,3 +32,11 @@ def plain_words(text: Column) -> Column:
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)).cast("int")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many `_` in front as it takes to be no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
