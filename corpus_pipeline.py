@@ -1,7 +1,13 @@
 """A corpus pipeline: five stages, each a DataFrame of documents made from the one before.
 
 Every stage works on all rows that its predecessor kept. All but the last return the
-columns of documents; the last adds how many words the mix takes.
+columns of documents; the last adds how many words the mix takes. Nulls, ties and repeated rows:
+
+toxicity        a null text scores like an empty one; rows that repeat an id are judged each by its own text.
+near_copies     rows without doc_id or words stay; of rows that share an id all stay or all go.
+repeated_bytes  a null text stays null; a row without doc_id is neither cut nor an earlier place.
+benchmark_free  rows without doc_id stay; of rows that share an id all go if one holds an item.
+mixing          rows are known by a number of their own; empty texts and nulls have no words to take.
 """
 
 from __future__ import annotations
@@ -14,6 +20,7 @@ from cladeframe.llm.mixing import mixed
 from cladeframe.llm.set_join import set_join
 from cladeframe.llm.suffixes import dedup_bytes
 from cladeframe.llm.toxicity import toxicity_threshold, train_toxicity, with_toxicity
+from cladeframe.llm.words import free_name
 from cladeframe.operators.staging import stage
 
 
@@ -22,19 +29,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if not model.trained:
         return docs
-    scored = with_toxicity(docs, model, "_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity_threshold(model, F.col("lang"))).drop("_toxicity")
+    score = free_name(docs, "_toxicity")
+    scored = with_toxicity(docs, model, score)
+    return scored.where(F.col(score) < toxicity_threshold(model, F.col("lang"))).drop(score)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with alike shingle sets the one with the smallest id."""
-    others = set_join(docs).where("not kept").select(F.col("doc_id").alias("_other"))
-    return docs.join(others, F.col("doc_id") == F.col("_other"), "left_anti")
+    other = free_name(docs, "_other")
+    others = set_join(docs).where("not kept").select(F.col("doc_id").alias(other))
+    return docs.join(others, F.col("doc_id") == F.col(other), "left_anti")
 
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of 100-byte strings that occur earlier."""
-    cut = dedup_bytes(docs).withColumn(
+    """Documents without the bytes of 100-byte strings that occur earlier.
+
+    A character of which a byte goes, goes whole, so that what is left is text.
+    """
+    cut = dedup_bytes(docs, whole_characters=True).withColumn(
         "text", F.when(F.col("text").isNotNull(), F.make_valid_utf8(F.col("kept").cast("string")))
     )
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
@@ -61,7 +73,7 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-# Learned models and sketches have no SQL twin; tests hold each stage against brute force.
+# Learned models and sketches have no SQL twin; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
