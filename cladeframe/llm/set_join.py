@@ -15,9 +15,9 @@ members is found even where no run brought its two sets together.
 
 So a large bucket need not be split if its sets are connected already. The members of a large
 bucket are compared with its smallest id, one comparison a member; together with the links of
-small buckets that gives provisional groups, and a bucket of one group only goes no deeper. Buckets
-that hold sets of several groups are split as ever. A group of many near copies thus meets its
-paths of one level instead of all levels.
+small buckets that gives provisional groups. A bucket of one group, but for a few sets, goes no
+deeper: every member is compared with those few. Buckets with more sets outside their largest group are
+split as ever. A group of many near copies thus meets its paths of one level instead of all levels.
 
 Defined results: a text with fewer words than n is one n-gram of all its words; a text
 without words, null included, and a row without doc_id has no set: it links with nothing
@@ -170,13 +170,48 @@ def _sketch_bar(similarity: float) -> float:
     return similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / SKETCH)
 
 
-def _unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Paths (as before) of large buckets whose members (path, id) are of more than one group (id, component)."""
+def _placed(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members with the provisional group (id, component) each is in, staged."""
     known = derived(groups.withColumnRenamed("id", "_id"), groups)
     placed = lookup(members, known, "id", "_id", staged=True)
-    group = F.coalesce("component", "id")
-    ends = placed.groupBy("path").agg(F.min(group).alias("_low"), F.max(group).alias("_high"))
-    return ends.where("_low < _high").select(F.col("path").alias("before"))
+    return stage(placed.select(*members.columns, F.coalesce("component", "id").alias("group")))
+
+
+def _outsiders(placed: DataFrame, most: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Settle large buckets that hold few sets outside their largest group.
+
+    Where at most `most` sets are outside, every member is compared, by sketch, with all of those:
+    with the pairs inside the group left to the exact meeting, that is every pair of the bucket. Returns
+    the links found (a, b) and the paths (as before) of buckets with more outsiders, which are split.
+    """
+    counts = placed.groupBy("path", "group").agg(F.count(F.lit(1)).alias("n"))
+    largest = stage(
+        counts.groupBy("path").agg(F.max_by("group", F.struct("n", "group")).alias("main"), (F.sum("n") - F.max("n")).alias("out"))
+    )
+    main = derived(largest.select(F.col("path").alias("_of"), "main", "out"), largest)
+    marked = lookup(placed, main, "path", "_of", "inner", staged=True).where(F.col("out").between(1, most))
+    outside = marked.where("group <> main").groupBy("path").agg(F.collect_list(F.struct("id", "size", "sketch")).alias("others"))
+    outside = stage(outside)
+    others = derived(outside.select(F.col("path").alias("_of"), "others"), outside)
+    met = lookup(placed.select("path", "id", "size", "sketch"), others, "path", "_of", "inner", staged=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends_a, ends_b = [], []
+            for a, size, sketch, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = np.frombuffer(sketch, np.uint8)
+                theirs = np.frombuffer(b"".join(o["sketch"] for o in others), np.uint8).reshape(len(others), -1)
+                sizes = np.array([o["size"] for o in others])
+                alike = (theirs == mine).sum(1) >= _sketch_bar(similarity) * SKETCH
+                alike &= np.minimum(size, sizes) >= similarity * np.maximum(size, sizes)
+                for i in np.flatnonzero(alike):
+                    if others[i]["id"] != a:
+                        ends_a.append(a)
+                        ends_b.append(others[i]["id"])
+            yield pa.RecordBatch.from_arrays([pa.array(ends_a, pa.int64()), pa.array(ends_b, pa.int64())], ["a", "b"])
+
+    links = stage(met.select("id", "size", "sketch", "others").mapInArrow(run, "a bigint, b bigint").distinct())
+    return links, largest.where(F.col("out") > most).select(F.col("path").alias("before"))
 
 
 def _word_hashes(text: Column) -> Column:
@@ -277,18 +312,19 @@ def set_join(
         hit = linked.any(1)
         return pa.table({"a": ids[hit], "b": local_roots(linked[hit][:, hit], ids[hit])})
 
+    # Copies have the paths of the one that stands for them, so only that one walks.
     walk = F.arrays_zip("levels", "befores", "paths")
-    reps = sets.select("id")
+    walkers = named(digests, sets.select(F.col("id").alias("doc_id")))
     candidates, large, provisional = None, None, None
     for level in range(1, LEVELS + 1):
         step = (
-            digests.select(F.col("doc_id").alias("id"), F.explode(walk).alias("w"))
+            walkers.select(F.col("doc_id").alias("id"), F.explode(walk).alias("w"))
             .where(F.col("w.levels") == level)
             .select("id", F.col("w.befores").alias("before"), F.col("w.paths").alias("path"))
         )
         if large is not None:
             step = step.join(large, "before", "left_semi")
-        step = stage(step.join(reps, "id", "left_semi").select("id", "path").distinct())
+        step = stage(step.select("id", "path").distinct())
         sizes = stage(step.groupBy("path").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
         met = sizes if level == LEVELS else sizes.where(F.col("_n") <= small_bucket)
         large = sizes.where(F.col("_n") > small_bucket).select("path")
@@ -302,7 +338,9 @@ def set_join(
         if provisional is None:
             candidates = candidates.unionByName(_stars(members, similarity))
             provisional = stage(components(candidates))
-        large = stage(_unsettled(members.select("path", "id"), provisional))
+        links, left = _outsiders(_placed(members, provisional), small_bucket, similarity)
+        candidates = candidates.unionByName(links)
+        large = stage(left)
         if counted(large).rows == 0:
             break
     groups = stage(components(candidates))
