@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import lookup
 from ..operators.staging import stage
 
 
@@ -71,6 +72,30 @@ def cells(items: DataFrame, bucket: Column, item: str, weight: Column, most: int
     )
 
 
+def block_cells(items: DataFrame, item: str, most: int) -> DataFrame:
+    """The same for items with their `_bucket` (a number), of which none is moved to be counted.
+
+    Only buckets of more than `most` items are looked up. Items alone in their bucket stay.
+    """
+    heavy = stage(
+        items.groupBy("_bucket")
+        .agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_blocks"))
+        .where("_blocks > 1")
+        .withColumnRenamed("_bucket", "_heavy")
+    )
+    blocks = F.coalesce("_blocks", F.lit(1))
+    dealt = (
+        lookup(items, heavy, "_bucket", "_heavy")
+        .withColumn("_block", F.pmod(F.xxhash64(F.lit(5), item), blocks).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    )
+    return (
+        dealt.withColumn("_lo", F.least("_block", "_other"))
+        .withColumn("_hi", F.greatest("_block", "_other"))
+        .drop("_heavy", "_blocks", "_other")
+    )
+
+
 def in_cells(dealt: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """Apply `work` to the rows of each cell; small cells are many to a task."""
 
