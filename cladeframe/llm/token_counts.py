@@ -5,9 +5,13 @@ version) is turned into signed amounts against the state before it: minus what a
 counted, plus what it counts now. Amounts add up, so totals by source, language and
 tokenizer version are sums over batches and no document is counted again.
 
-A batch is one written table holding its amounts and the new state of its documents. The
-writer's success marker commits both at once: a batch that is already committed is left
-alone when it is sent again, and one whose job died is written anew.
+A batch is one written table holding its amounts and the new state of its documents, each
+in a folder of its own, so that totals never read documents. The writer's success marker
+commits both at once: a batch that is already committed is left alone when it is sent
+again, and one whose job died is written anew. Every `every` batches their sum is written
+as a snapshot, by the same rule; what is read is the last snapshot and the batches after
+it, so neither a commit nor a total reads all history. A snapshot holds what the batches
+up to it hold and changes no result, whether it is there or not.
 
 Defined results: a null text counts 0 tokens; null sources and languages are values of
 their own; inserting what is there revises it, revising what is not there inserts it, and
@@ -34,6 +38,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 STATE = "kind string, doc_id bigint, tokenizer string, source string, lang string, tokens bigint, docs bigint"
+BATCH, SNAPSHOT = "batch-", "snapshot-"
+# Batches after which a snapshot is written.
+EVERY = 16
 CHANGES = ("seq", "op", "doc_id", "source", "lang", "tokenizer", "tokens")
 
 
@@ -73,36 +80,49 @@ def with_word_count(docs: DataFrame, column: str = "tokens") -> DataFrame:
 class TokenRollup:
     """Totals by source, language and tokenizer version under one folder.
 
-    `path` must be a folder that all executors share.
+    `path` must be a folder that all executors share. After `every` batches without a
+    snapshot a commit writes one.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, every: int = EVERY):
+        if every < 1:
+            raise ValueError("every must be at least 1")
+        self.spark, self.path, self.every = spark, path.rstrip("/"), every
 
-    def _exists(self, path: str) -> bool:
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
-
-    def batches(self) -> list[str]:
-        """Names of the committed batches, in the order they were committed in."""
+    def _committed(self, kind: str) -> list[str]:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not files.exists(folder):
             return []
+        whole = self.spark._jvm.org.apache.hadoop.fs.Path
         names = [s.getPath().getName() for s in files.listStatus(folder)]
-        return sorted(n for n in names if self._exists(f"{self.path}/{n}/_SUCCESS"))
+        return sorted(n for n in names if n.startswith(kind) and files.exists(whole(f"{self.path}/{n}/_SUCCESS")))
+
+    def batches(self) -> list[str]:
+        """Names of the committed batches, in the order they were committed in."""
+        return self._committed(BATCH)
+
+    def _sources(self) -> list[str]:
+        """Folders that hold all history between them: the last snapshot and the batches after it."""
+        snapshots = self._committed(SNAPSHOT)[-1:]
+        covered = snapshots[0].removeprefix(SNAPSHOT) if snapshots else ""
+        return snapshots + [n for n in self.batches() if n.removeprefix(BATCH) > covered]
 
     def _rows(self, kind: str) -> DataFrame:
+        """Rows of one kind, with the number of the batch or snapshot they are in."""
         parts = [
-            self.spark.read.schema(STATE).parquet(f"{self.path}/{name}").withColumn("batch", F.lit(name))
-            for name in self.batches()
+            self.spark.read.schema(STATE)
+            .parquet(f"{self.path}/{name}")
+            .where(F.col("kind") == kind)
+            .withColumn("batch", F.lit(name.split("-")[1]))
+            for name in self._sources()
         ]
         if not parts:
-            return self.spark.createDataFrame([], STATE).withColumn("batch", F.lit("")).where(F.col("kind") == kind)
+            return self.spark.createDataFrame([], STATE).withColumn("batch", F.lit(""))
         rows = parts[0]
         for part in parts[1:]:
             rows = rows.unionByName(part)
-        return rows.where(F.col("kind") == kind)
+        return rows
 
     def state(self) -> DataFrame:
         """Every document's last count: doc_id, tokenizer, source, lang, tokens, docs (0 if deleted)."""
@@ -114,12 +134,32 @@ class TokenRollup:
         sums = [F.sum(c).alias(c) for c in ("tokens", "docs")]
         return self._rows("amount").groupBy("source", "lang", "tokenizer").agg(*sums)
 
+    def _write(self, rows: DataFrame, name: str) -> None:
+        (
+            rows.select(*[field.split()[0] for field in STATE.split(", ")])
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "static")
+            .partitionBy("kind")
+            .parquet(f"{self.path}/{name}")
+        )
+
+    def compact(self) -> bool:
+        """Write the state and the totals as they are now as a snapshot; False if the last batch has one."""
+        done = self.batches()
+        if not done or f"{SNAPSHOT}{done[-1].removeprefix(BATCH)}" in self._committed(SNAPSHOT):
+            return False
+        none = F.lit(None).cast("bigint").alias("doc_id")
+        documents = self.state().withColumn("kind", F.lit("document"))
+        amounts = self.totals().select("*", none, F.lit("amount").alias("kind"))
+        self._write(documents.unionByName(amounts), f"{SNAPSHOT}{done[-1].removeprefix(BATCH)}")
+        return True
+
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Apply `changes` (CHANGES) as number `batch`; False if that number was committed before.
 
         Numbers are not negative, and a new one is larger than those before it.
         """
-        name = f"batch-{batch:012d}"
+        name = f"{BATCH}{batch:012d}"
         done = self.batches()
         if name in done:
             return False
@@ -173,8 +213,9 @@ class TokenRollup:
             .groupBy(F.when(~amount, F.col("doc_id")).alias("doc_id"), "kind", "tokenizer", "source", "lang")
             .agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"))
         )
-        names = [field.split()[0] for field in STATE.split(", ")]
-        rows.select(*names).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        self._write(rows, name)
+        if sum(n.startswith(BATCH) for n in self._sources()) >= self.every:
+            self.compact()
         return True
 
 
