@@ -8,6 +8,7 @@ from conftest import rows
 
 import cladeframe as cf
 
+# Fixed value: what an accession must look like.
 PATTERN = re.compile(r"^[A-Z][A-Z][_]{0,1}[0-9]+\.[0-9]+$")
 
 
@@ -24,11 +25,11 @@ def lines_frame(spark, lines):
 
 
 FIXED = [
-    "read1\tgi|422933597|ref|YP_007003722.1|\t37.50\t32",
-    "read2\tgi|9626196|ref| NC_001407.1 |\t95.56",
-    "read3\tgi|1|gb|\tCP011538.1\x1f|",
-    "read4\tgi|1|gb|\xa0HQ634565.12　|",
-    "read5|1|emb|Z17427.1|",
+    "read1\tgi|700100200|ref|QX_123456789.1|\t41.25\t17",
+    "read2\tgi|8000001|ref| QY_654321.2 |\t12.34",
+    "read3\tgi|1|gb|\tQZ135790.1\x1f|",
+    "read4\tgi|1|gb|\xa0QW246801.12　|",
+    "read5|1|emb|Z13579.1|",
     "read6|1|emb|F9999.9|",
     "read7|1|emb|AB__12.1|",
     "read8|1|emb|ab_12.1|",

@@ -1,4 +1,7 @@
-"""Rollup and report against a dictionary version of the same procedure."""
+"""Rollup and report against a dictionary version of the same procedure.
+
+Fixed values: the layouts, column widths and headings of printed lines.
+"""
 
 import random
 
