@@ -24,6 +24,7 @@ from .operators.lookups import (
     taxid_by_name,
 )
 from .operators.quality import key_collisions, key_hash
+from .operators.repeats import first_rows, repeated_keys, split_repeats
 from .operators.report import (
     report,
     report_html_rows,

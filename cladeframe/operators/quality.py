@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .repeats import repeated_keys
+
 
 def _hash64(text: str) -> Column:
     """The first 64 bits of a text's MD5, as a signed number; other engines can compute it."""
@@ -19,7 +21,5 @@ def key_hash(acc_map: DataFrame) -> DataFrame:
 
 
 def key_collisions(acc_map: DataFrame, key: str = "acc_ver") -> DataFrame:
-    """Key values that occur more than once: the key, n_rows."""
-    return (
-        acc_map.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
-    )
+    """Key values that occur more than once: the key, n_rows. Only keys that may repeat are shuffled."""
+    return repeated_keys(acc_map, key)

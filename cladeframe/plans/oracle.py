@@ -422,5 +422,10 @@ ORACLE: dict[str, str] = {
       FROM parsed)""",
         "key_collisions": """SELECT acc_ver, count(*) AS n_rows FROM acc_taxid
   GROUP BY acc_ver HAVING count(*) > 1""",
+        "first_accessions": """SELECT acc, acc_ver, taxid, gi FROM (
+    SELECT *, row_number() OVER (PARTITION BY acc_ver ORDER BY gi, acc, taxid) AS place FROM (
+      SELECT acc, acc_ver, taxid, gi FROM acc_taxid
+      UNION ALL SELECT acc, acc_ver, taxid + gi % 3 - 1, gi - gi % 2 FROM acc_taxid WHERE gi % 30 < 3))
+  WHERE place = 1""",
     }.items()
 }

@@ -459,6 +459,14 @@ def key_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cf.key_collisions(derived.acc_taxid(spark, sf_dir))
 
 
+def first_accessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each accession version in two releases of the map the row with the smallest gi."""
+    older = derived.acc_taxid(spark, sf_dir).where("gi % 30 < 3").selectExpr(
+        "acc", "acc_ver", "taxid + gi % 3 - 1 AS taxid", "gi - gi % 2 AS gi"
+    )
+    return cf.first_rows(derived.acc_taxid(spark, sf_dir).union(older), "acc_ver", "gi")
+
+
 QUERIES: dict[str, Query] = {
     "accession_map": accession_map,
     "tree_scan": tree_scan,
@@ -524,4 +532,5 @@ QUERIES: dict[str, Query] = {
     "report_summary": report_summary,
     "key_hash": key_hash,
     "key_collisions": key_collisions,
+    "first_accessions": first_accessions,
 }
