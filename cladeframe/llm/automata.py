@@ -8,12 +8,17 @@ has left a prefix its state is closed, and closed states with equal arcs are one
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 
+# N-grams that a union holds before equal ones are added up.
+UNION_ROWS = 1 << 20
+
+
 def order_of(grams: np.ndarray) -> np.ndarray:
     """The lexicographic order of n-grams, rows of word numbers (0: no word)."""
     packed = packed_of(grams)
@@ -182,16 +187,71 @@ def build(words: list[bytes], grams: np.ndarray, counts: np.ndarray) -> Automato
     return Automaton([words[i - 1] for i in used], starts, labels, weights, targets)
 
 
-def union(parts: list[Automaton], depth: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words, n-grams and added weights of several automata together."""
-    words = sorted(set().union(*(p.words for p in parts)))
-    number = {w: i + 1 for i, w in enumerate(words)}
-    grams, counts = [np.zeros((0, depth), np.int64)], [np.zeros(0, np.int64)]
+def union(parts: Iterable[Automaton], depth: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words, n-grams and added weights of several automata together.
+
+    Parts are opened one at a time. Their n-grams are held as one number each where 63 bits do, and
+    equal ones are added up whenever what is held has doubled, so that memory follows the distinct n-grams
+    and the largest part and not all parts together.
+    """
+    number: dict[bytes, int] = {}
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, limit, bits = 0, UNION_ROWS, 63 // depth
     for part in parts:
         own, weight = part.grams()
-        grams.append(np.array([0, *(number[w] for w in part.words)], np.int64)[own])
-        counts.append(weight)
-    return words, *summed(np.concatenate(grams), np.concatenate(counts))
+        # Words are numbered as they come; their order is known when all have come.
+        names = np.array([0, *(number.setdefault(w, len(number) + 1) for w in part.words)], np.int64)
+        if len(number) >> bits and held and held[0][0].ndim == 1:
+            held = [(unpacked(keys, bits, depth), counts) for keys, counts in held]
+        own = names[own]
+        held.append((own if len(number) >> bits else packed_by(own, bits), weight))
+        size += len(weight)
+        if size > limit:
+            held = [added(held)]
+            size = len(held[0][1])
+            limit = max(UNION_ROWS, 2 * size)
+    words = sorted(number)
+    place = np.zeros(len(words) + 1, np.int64)
+    place[[number[w] for w in words]] = np.arange(1, len(words) + 1)
+    if not held:
+        return words, np.zeros((0, depth), np.int64), np.zeros(0, np.int64)
+    keys, counts = added(held)
+    held.clear()
+    if keys.ndim == 1:
+        ordered = np.zeros(len(keys), np.int64)
+        for d in range(depth):
+            ordered = (ordered << bits) | place[(keys >> (bits * (depth - 1 - d))) & ((1 << bits) - 1)]
+        order = np.argsort(ordered)
+        return words, unpacked(ordered[order], bits, depth), counts[order]
+    return words, *summed(place[keys], counts)
+
+
+def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, packed or as rows, with their counts added up; empties `held`."""
+    keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
+    held.clear()
+    if keys.ndim > 1:
+        return summed(keys, counts)
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[: len(keys)]
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
+def packed_by(grams: np.ndarray, bits: int) -> np.ndarray:
+    """N-grams as one number each, `bits` to a word."""
+    packed = np.zeros(len(grams), np.int64)
+    for column in grams.T:
+        packed = (packed << bits) | column
+    return packed
+
+
+def unpacked(packed: np.ndarray, bits: int, depth: int) -> np.ndarray:
+    """Rows of word numbers again."""
+    grams = np.empty((len(packed), depth), np.int64)
+    for d in range(depth):
+        grams[:, d] = (packed >> (bits * (depth - 1 - d))) & ((1 << bits) - 1)
+    return grams
 
 
 def place_of(gram: tuple[bytes, ...], words: np.ndarray, grams: np.ndarray) -> int:

@@ -239,27 +239,30 @@ def _united(shards: DataFrame, longest: int, splitters: dict, min_count: int) ->
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         lang, number = frame["lang"].iloc[0], int(frame["range"].iloc[0])
-        words, grams, counts = union([Automaton.from_bytes(b) for b in frame["automaton"]], longest)
+        words, grams, counts = union((Automaton.from_bytes(b) for b in frame["automaton"]), longest)
         border = np.sum(np.stack(frame["border"].to_list()), axis=0)
+        alone = int(counts[(grams > 0).sum(1) == 1].sum())
+        # A first part occurs wherever its phrase does, so it is among the frequent ones itself.
+        often = counts >= min_count
+        grams, counts = grams[often], counts[often]
         size = (grams > 0).sum(1)
-        alone = int(counts[size == 1].sum())
-        often = np.flatnonzero(counts >= min_count)
-        firsts = np.zeros((len(often), longest), np.int64)
+        firsts = np.zeros((len(grams), longest), np.int64)
         cut = splitters[lang][number - 1] if number else ()
         for d in range(1, longest):
-            asked = grams[often].copy()
+            asked = grams.copy()
             asked[:, d:] = 0
             at = rows_of(asked, grams)
             # A first part that is not here is a prefix of the splitter the range begins with.
-            firsts[:, d - 1] = np.where(at >= 0, counts[np.maximum(at, 0)], border[d - 1] if d < len(cut) else 0)
-        phrases = [b" ".join(words[i - 1] for i in g if i) for g in grams[often].tolist()]
+            known = counts[np.maximum(at, 0)] if len(counts) else 0
+            firsts[:, d - 1] = np.where(at >= 0, known, border[d - 1] if d < len(cut) else 0)
+        phrases = [b" ".join(words[i - 1] for i in g if i) for g in grams.tolist()]
         return pd.DataFrame(
             {
                 "lang": lang,
                 "phrase": [b"", *phrases],
-                "size": np.concatenate(([0], size[often])).astype(np.int32),
-                "n": np.concatenate(([alone], counts[often])),
-                "firsts": [[], *(f[: max(0, s - 1)].tolist() for f, s in zip(firsts, size[often], strict=True))],
+                "size": np.concatenate(([0], size)).astype(np.int32),
+                "n": np.concatenate(([alone], counts)),
+                "firsts": [[], *(f[: max(0, s - 1)].tolist() for f, s in zip(firsts, size, strict=True))],
             }
         )
 

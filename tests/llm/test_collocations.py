@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from cladeframe.llm import automata
 from cladeframe.llm.automata import Automaton, build, place_of, rows_of, union
 from cladeframe.llm.collocations import collocations, shard
 
@@ -99,6 +101,30 @@ def test_union_adds_counts(shards):
         assert place == sum(h < g for h in order)
 
 
+def test_union_holds_distinct_ngrams_and_not_all_parts(monkeypatch):
+    """Memory of many alike parts is that of few; also where words outgrow the packed numbers."""
+    monkeypatch.setattr(automata, "UNION_ROWS", 1 << 10)
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(3000)).encode()]
+    blob = build(*shard(texts, 3)).to_bytes()
+
+    def peak(parts):
+        tracemalloc.start()
+        words, grams, counts = union((Automaton.from_bytes(blob) for _ in range(parts)), 3)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        found = {tuple(words[i - 1].decode() for i in g if i): c for g, c in zip(grams.tolist(), counts.tolist())}
+        assert found == {g: c * parts for g, c in counted([texts[0].decode()]).items()}
+        return most
+
+    assert peak(60) < 1.5 * peak(6)
+    own = [[" ".join(f"v{rng.randrange(k, k + 40)}" for _ in range(90))] for k in range(0, 400, 30)]
+    machines = [build(*shard([t.encode() for t in text], 9)) for text in own]
+    words, grams, counts = union(machines, 9)
+    found = {tuple(words[i - 1].decode() for i in g if i): c for g, c in zip(grams.tolist(), counts.tolist())}
+    assert found == sum((counted(text, 9) for text in own), Counter())
+
+
 def test_long_ngrams_do_not_fit_in_numbers():
     """Words times length beyond 63 bits."""
     texts = [" ".join(f"w{i * i % 9973}" for i in range(4000))] * 2
