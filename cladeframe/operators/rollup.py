@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ladder
 from ..schemas import LEVELS, NO_RANK, RANKS, UNKNOWN_NAME
-from .joins import attach, lookup
-from .lineage import Taxonomy, as_taxonomy, with_names
+from .joins import attach
+from .lineage import Taxonomy, as_taxonomy
 from .staging import derived, stage
 
 
@@ -67,15 +67,17 @@ def rank_rollup(resolved: DataFrame, tree: DataFrame | Taxonomy) -> DataFrame:
         if k == 0:
             nodes = derived(
                 tree.nodes.select(
-                    F.col("taxid").alias("_id"), F.col("name").alias("_name"), F.col("rank").alias("_rank")
+                    F.col("taxid").alias("id_0"), F.col("name").alias("_name"), F.col("rank").alias("_rank")
                 ),
                 tree.nodes,
             )
-            named = lookup(level, nodes, "id_0", "_id", staged=True)
             label, mapped = F.coalesce("_name", F.lit(UNKNOWN_NAME)), F.coalesce("_rank", F.lit(NO_RANK))
         else:
-            named = with_names(level, tree, RANKS, [k])
+            own = tree.names(RANKS)[k]
+            nodes = derived(own.select(F.col("_id").alias(f"id_{k}"), F.col("_name").alias(f"name_{k}")), own)
             label, mapped = ladder.answer_label(k), F.lit(None).cast("string")
+        # A level has one row per id, by which it is dealt already; ids that stand in for a missing answer use no name.
+        named = attach(level, nodes, f"id_{k}")
         rows = named.select(
             F.lit(LEVELS[k]).alias("rank_level"),
             F.col(f"id_{k}").alias("taxid"),

@@ -155,3 +155,25 @@ def test_summary(spark):
         (4, "<TR><TD>Total rows processed: </TD><TD>1,234,567</TD></TR>"),
         (5, "<TR><TD>Rejected rows:        </TD><TD>8</TD></TR>"),
     ]
+
+
+def test_names_of_a_rollup_are_joined_without_copies_of_levels(spark, forced_shuffle, monkeypatch):
+    """Levels have one row per id: no level is written again, nor searched for hot keys, to be named."""
+    from cladeframe.operators import joins, rollup
+
+    tree = [(1, "root", 1, "no rank"), (2, "f", 1, "family"), (3, "g", 2, "genus"), (4, "lone", 4, "genus"), (9, "lost", 77, "species")]
+    tree += [(i, f"s{i}", 3 if i % 2 else 4, "species") for i in range(100, 160)]
+    taxonomy = cf.Taxonomy(spark.createDataFrame(tree, TREE))
+    taxonomy.answers(RANKS, "cascade")
+    taxonomy.names(RANKS)
+    taxids = [*range(100, 160), 9, 4, 1, -1, 888]
+    resolved = spark.createDataFrame([(f"A{t}", 2, t) for t in taxids], "acc_ver string, freq bigint, taxid bigint")
+
+    def refused(*args, **kwargs):
+        raise AssertionError("a level was copied")
+
+    monkeypatch.setattr(joins, "stage", refused)
+    monkeypatch.setattr(joins, "hot_keys", refused)
+    walker = Walker(tree)
+    table = plain_rollup({f"A{t}": (2, t) for t in taxids}, walker)
+    check_rollup(table, walker, resolved, taxonomy)
