@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.repeats import may_repeat
 from ..operators.staging import stage
 from .anchors import anchor_places, repeated, rolled, scramble
 from .samples import flat_bytes, flat_lists
@@ -259,7 +260,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             (F.col("left") + F.col("right") - window + 1).alias("n"),
         )
 
-    found = stage(repeated(anchors.where("not again")))
+    # Most anchors stand once; only those that may repeat are shuffled.
+    found = stage(repeated(may_repeat(anchors.where("not again"), "gram")))
     settled = found.where("not _contexts and _first < doc_id")
     open_ = found.where("_contexts")
     firsts = open_.groupBy("gram", "context").agg(

@@ -5,6 +5,9 @@ sends them packed, four bytes a key, to the task that owns their stripe, which t
 cells met more than once. A key that repeats always lies in such a cell, so the second pass
 deals exactly with the rows of those cells, and only they are shuffled as rows.
 
+Where so much repeats that the cells cannot be broadcast, `may_repeat` sends bits of them
+instead: a filter of bounded size that lets every row of such a cell through, and few others.
+
 Null is a key like any other. Rows are read twice; where that is dear, stage them first.
 """
 
@@ -17,12 +20,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import derived, stage, within_broadcast
+from .staging import counted, derived, stage, within_broadcast
 
 # Parts that the cells are shuffled in; each has 2^32 cells. One stripe at a time is in memory.
 STRIPES = 4096
 # Keys that a task sorts at once.
 BUFFER = 1 << 22
+# Bits of a cell's number.
+CELL_BITS = 44
+# Bits of a filter for each cell in it; the powers of two of its largest size and of a page of it.
+FILTER_SHARE = 16
+FILTER_MOST, FILTER_PAGE = 29, 18
 
 _PLACE = "__place"
 _PACKED = "stripe int, cells binary, again binary"
@@ -108,6 +116,60 @@ def split_repeats(df: DataFrame, key: str) -> tuple[DataFrame | None, DataFrame]
     )
 
 
+def _filter_bits(cells: DataFrame, power: int) -> np.ndarray:
+    """2^power bits, of which two are set for each of the cells; pages of them are made by tasks."""
+    low, high = F.col(_PLACE).bitwiseAND(F.lit((1 << power) - 1)), F.shiftright(F.col(_PLACE), CELL_BITS - power)
+    spots = cells.select(F.explode(F.array(low, high)).alias("spot"))
+
+    def page_of(page: int, bits: np.ndarray) -> pa.RecordBatch:
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        return pa.RecordBatch.from_pydict({"page": pa.array([page], pa.int64()), "bits": pa.array([packed], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, bits = None, None
+        for batch in batches:
+            spot = batch.column(0).to_numpy()
+            own = spot >> FILTER_PAGE
+            for at in np.unique(own):
+                if at != page:
+                    if page is not None:
+                        yield page_of(page, bits)
+                    page, bits = int(at), np.zeros(1 << FILTER_PAGE, bool)
+                bits[spot[own == at] & ((1 << FILTER_PAGE) - 1)] = True
+        if page is not None:
+            yield page_of(page, bits)
+
+    dealt = spots.withColumn("page", F.shiftright("spot", FILTER_PAGE)).repartition("page").sortWithinPartitions("page")
+    found = np.zeros(1 << power >> 3, np.uint8)
+    size = 1 << FILTER_PAGE >> 3
+    for row in dealt.select("spot").mapInArrow(run, "page bigint, bits binary").collect():
+        found[row["page"] * size :][:size] = np.frombuffer(row["bits"], np.uint8)
+    return found
+
+
+def may_repeat(df: DataFrame, key: str) -> DataFrame:
+    """All rows of `df` whose key repeats, and few of the others; nothing of `df` is shuffled for it.
+
+    What is sent to every executor is a filter of two bytes for each repeated cell, of 64 MB at most: with
+    more than some 3e7 repeated cells more of the other rows pass, and none that repeats is lost.
+    """
+    cells = _repeated_cells(df, key)
+    power = min(FILTER_MOST, max(FILTER_PAGE, (FILTER_SHARE * counted(cells).rows).bit_length()))
+    sent = df.sparkSession.sparkContext.broadcast(_filter_bits(cells, power))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            cell = batch.column(batch.num_columns - 1).to_numpy()
+            hit = np.ones(len(cell), np.uint8)
+            for spot in (cell & ((1 << power) - 1), cell >> (CELL_BITS - power)):
+                hit &= bits[spot >> 3] >> (spot & 7).astype(np.uint8)
+            kept = batch.filter(pa.array((hit & 1).astype(bool)))
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+
+    return df.withColumn(_PLACE, _place(key)).mapInArrow(run, df.schema)
+
+
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     """Values of `key` that occur more than once: the key, n_rows."""
     _, others = split_repeats(df.select(key), key)
