@@ -15,8 +15,8 @@ members is found even where no run brought its two sets together.
 
 So a large bucket need not be split if its sets are connected already. The members of a large
 bucket are compared with its smallest id, one comparison a member; together with the links of
-small buckets that gives provisional groups. A bucket of one group, but for a few sets, goes no
-deeper: every member is compared with those few. Buckets with more sets outside their largest group are
+small buckets that gives provisional groups. A bucket of one group, but for a block of sets, goes no
+deeper: every member is compared with those. Buckets with more sets outside their largest group are
 split as ever. A group of many near copies thus meets its paths of one level instead of all levels.
 
 Defined results: a text with fewer words than n is one n-gram of all its words; a text
@@ -49,7 +49,8 @@ SIMILARITY = 0.8
 RECALL = 0.999
 # Levels of a path; a bucket that is still large then is compared in cells.
 LEVELS = 3
-# Sets in a bucket that are compared without a further split, and in a block of a cell.
+# Sets in a bucket that are compared without a further split, and in a block of a cell; as many sets
+# outside its largest group as a block holds does a bucket have that goes no deeper.
 SMALL_BUCKET = 64
 BLOCK_SETS = 512
 # Tokens in a block of a cell of the exact comparison.
@@ -181,36 +182,46 @@ def _outsiders(placed: DataFrame, most: int, similarity: float) -> tuple[DataFra
     """Settle large buckets that hold few sets outside their largest group.
 
     Where at most `most` sets are outside, every member is compared, by sketch, with all of those:
-    with the pairs inside the group left to the exact meeting, that is every pair of the bucket. Returns
-    the links found (a, b) and the paths (as before) of buckets with more outsiders, which are split.
+    with the pairs inside the group left to the exact meeting, that is every pair of the bucket. The group is
+    cut into blocks of some `most` sets; a cell holds one of them and all that is outside. Returns one link
+    (a, b) of each set found alike to another and the paths (as before) of buckets with more outsiders, which are split.
     """
     counts = placed.groupBy("path", "group").agg(F.count(F.lit(1)).alias("n"))
     largest = stage(
-        counts.groupBy("path").agg(F.max_by("group", F.struct("n", "group")).alias("main"), (F.sum("n") - F.max("n")).alias("out"))
+        counts.groupBy("path").agg(
+            F.max_by("group", F.struct("n", "group")).alias("main"),
+            (F.sum("n") - F.max("n")).alias("out"),
+            F.ceil(F.max("n") / most).cast("int").alias("blocks"),
+        )
     )
-    main = derived(largest.select(F.col("path").alias("_of"), "main", "out"), largest)
+    main = derived(largest.select(F.col("path").alias("_of"), "main", "out", "blocks"), largest)
     marked = lookup(placed, main, "path", "_of", "inner", staged=True).where(F.col("out").between(1, most))
-    outside = marked.where("group <> main").groupBy("path").agg(F.collect_list(F.struct("id", "size", "sketch")).alias("others"))
-    outside = stage(outside)
-    others = derived(outside.select(F.col("path").alias("_of"), "others"), outside)
-    met = lookup(placed.select("path", "id", "size", "sketch"), others, "path", "_of", "inner", staged=True)
+    outside, block = F.col("group") != F.col("main"), F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    dealt = marked.select(
+        "id",
+        "size",
+        "sketch",
+        outside.alias("outside"),
+        F.col("path").alias("_bucket"),
+        F.explode(F.when(outside, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))).alias("_lo"),
+    ).withColumn("_hi", F.col("_lo"))
+
+    def meet(cell: pa.Table) -> pa.Table:
+        ids, size = np.asarray(cell.column("id")), np.asarray(cell.column("size"))
+        outside = cell.column("outside").to_numpy()
+        if not outside.any():
+            return _empty("a", "b")
+        sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        linked = np.zeros((len(ids), len(ids)), bool)
+        for i in np.flatnonzero(outside):
+            linked[i] = (sketch == sketch[i]).sum(1) >= _sketch_bar(similarity) * SKETCH
+            linked[i] &= np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i])
+        linked |= linked.T
+        np.fill_diagonal(linked, False)
+        hit = linked.any(1)
+        return pa.table({"a": ids[hit], "b": local_roots(linked[hit][:, hit], ids[hit])})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends_a, ends_b = [], []
-            for a, size, sketch, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mine = np.frombuffer(sketch, np.uint8)
-                theirs = np.frombuffer(b"".join(o["sketch"] for o in others), np.uint8).reshape(len(others), -1)
-                sizes = np.array([o["size"] for o in others])
-                alike = (theirs == mine).sum(1) >= _sketch_bar(similarity) * SKETCH
-                alike &= np.minimum(size, sizes) >= similarity * np.maximum(size, sizes)
-                for i in np.flatnonzero(alike):
-                    if others[i]["id"] != a:
-                        ends_a.append(a)
-                        ends_b.append(others[i]["id"])
-            yield pa.RecordBatch.from_arrays([pa.array(ends_a, pa.int64()), pa.array(ends_b, pa.int64())], ["a", "b"])
-
-    links = stage(met.select("id", "size", "sketch", "others").mapInArrow(run, "a bigint, b bigint").distinct())
+    links = stage(in_cells(dealt, meet, "a bigint, b bigint").where("a <> b").distinct())
     return links, largest.where(F.col("out") > most).select(F.col("path").alias("before"))
 
 
@@ -338,7 +349,7 @@ def set_join(
         if provisional is None:
             candidates = candidates.unionByName(_stars(members, similarity))
             provisional = stage(components(candidates))
-        links, left = _outsiders(_placed(members, provisional), small_bucket, similarity)
+        links, left = _outsiders(_placed(members, provisional), block_sets, similarity)
         candidates = candidates.unionByName(links)
         large = stage(left)
         if counted(large).rows == 0:
