@@ -34,6 +34,12 @@ def hot_keys(df: DataFrame, key: str) -> list:
     return [item["item"] for item in (row["top"] or []) if item["count"] > bar]
 
 
+def has_hot_key(facts: DataFrame, key: str) -> bool:
+    """Does a key of staged `facts`, null aside, have too many rows for a task?"""
+    known = counted(facts)
+    return not (known is not None and known.rows <= HOT_ROWS) and bool(hot_keys(facts, key))
+
+
 def lookup(
     facts: DataFrame,
     dim: DataFrame,
@@ -61,6 +67,16 @@ def lookup(
     return split_join(facts, dim, facts_key, dim_key, how, hot_keys(facts, facts_key))
 
 
+def spread_lookup(facts: DataFrame, dim: DataFrame, facts_key: str, dim_key: str) -> DataFrame:
+    """Left join to `dim`, one row per `dim_key`, for facts proven to have no hot key, nulls aside.
+
+    One shuffle; rows without a key meet nothing and are dealt by all they hold, so neither side is written
+    or read again.
+    """
+    place = F.coalesce(F.col(facts_key), F.xxhash64(*facts.columns))
+    return facts.join(dim.hint("merge"), (place == F.col(dim_key)) & F.col(facts_key).isNotNull(), "left")
+
+
 def split_join(
     facts: DataFrame, dim: DataFrame, facts_key: str, dim_key: str, how: str, hot: list
 ) -> DataFrame:

@@ -22,7 +22,7 @@ from ..schemas import (
 )
 from .climb import Stretch, climb, prepared
 from .intervals import number, spread
-from .joins import first_k, lookup
+from .joins import first_k, has_hot_key, lookup, spread_lookup
 from .staging import counted, derived, part_of, sized, stage, within_broadcast
 
 
@@ -135,13 +135,24 @@ def with_answers(keys: DataFrame, tree: Taxonomy, ranks: Sequence[str], mode: st
     return lookup(keys, _keyed(tree.answers(ranks, mode)), "taxid", "_id").drop("_id")
 
 
+def _place_of(k: int) -> tuple[str, str]:
+    """Columns of the id found at the k-th rank, or for 0 at the top, and of its name."""
+    return ("top", "top_name") if k == 0 else (f"found_{k}", f"name_{k}")
+
+
 def with_names(found: DataFrame, tree: Taxonomy, ranks: Sequence[str], places: Sequence[int]) -> DataFrame:
     """Names of what was found at the ranks in `places`, as name_<k>; 0 stands for the top, as top_name."""
     names = tree.names(ranks)
-    for k in places:
-        key, name = ("top", "top_name") if k == 0 else (f"found_{k}", f"name_{k}")
+    large = [k for k in places if not within_broadcast(names[k])]
+    if large:
+        # Written once, as ids; only where a key is hot are rows with names written again.
+        found = stage(found)
+    hot = {k for k in large if has_hot_key(found, _place_of(k)[0])}
+    for k in sorted(places, key=lambda k: (k not in hot, k)):
+        key, name = _place_of(k)
         columns = found.columns
-        found = lookup(found, names[k], key, "_id").select(*columns, F.col("_name").alias(name))
+        met = spread_lookup(found, names[k], key, "_id") if k in large and k not in hot else lookup(found, names[k], key, "_id")
+        found = met.select(*columns, F.col("_name").alias(name))
     return found
 
 
