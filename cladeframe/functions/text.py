@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 # Every character Python's str.strip() removes; trim() alone removes only blanks.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
+# Fixed value: what a cast to a whole number takes, and the same between white space of any kind.
+NUMBER_PATTERN = r"^[\x00-\x20\x7F]*[+-]?[0-9]+[\x00-\x20\x7F]*\z"
+SPACED_NUMBER_PATTERN = r"^[\x00-\x20\x7F{0}]*[+-]?[0-9]+[\x00-\x20\x7F{0}]*\z".format(
+    "".join(f"\\u{ord(c):04X}" for c in WHITESPACE if ord(c) > 0x7F)
+)
+
 # Fixed value: the accession.version pattern, anchored to the whole field.
 ACCESSION_PATTERN = r"^[A-Z][A-Z]_?[0-9]+\.[0-9]+\z"
 
@@ -24,6 +30,17 @@ def chomp(col: Column) -> Column:
     return F.rtrim(col, F.lit("\r\n"))
 
 
+def whole_number(col: Column) -> Column:
+    """The text as BIGINT without white space around it; null if it is no number or too large.
+
+    A cast that fails raises an exception within Spark, which costs more than reading the line, so
+    only what looks like a number is cast.
+    """
+    return F.when(col.rlike(NUMBER_PATTERN), col.try_cast("bigint")).when(
+        col.rlike(SPACED_NUMBER_PATTERN), strip(col).try_cast("bigint")
+    )
+
+
 def field(line: Column, sep: str, index: int) -> Column:
     """Field `index` (from 0) of a line split on the literal `sep`; null if absent.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import chomp, strip
+from ..functions.text import chomp, strip, whole_number
 from ..schemas import ACCESSION_MAP, TREE
 
 # Fixed value: first word of the header line in accession files.
@@ -29,10 +29,6 @@ def _paths(paths: str | Sequence[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
-def _number(col: Column) -> Column:
-    return strip(col).try_cast("bigint")
-
-
 def _file_order() -> Column:
     """Sorts rows as they stand in their files, files by path."""
     return F.struct(
@@ -73,7 +69,7 @@ def scan_accession_map(
         strip(F.get("_f", F.lit(1))).alias("acc_ver"),
         F.get("_f", F.lit(2)).alias("_taxid"),
         F.get("_f", F.lit(3)).alias("_gi"),
-    ).withColumns({"taxid": _number(F.col("_taxid")), "gi": _number(F.col("_gi"))})
+    ).withColumns({"taxid": whole_number(F.col("_taxid")), "gi": whole_number(F.col("_gi"))})
     header = F.coalesce(F.col("acc"), F.lit("")) == HEADER_WORD
     no_gi = F.upper(strip(F.col("_gi"))).isin("", "NULL")
     reason = (
@@ -120,8 +116,8 @@ def scan_tree(spark: SparkSession, paths: str | Sequence[str], headers: bool = F
         header = header & (F.coalesce(F.col(name), F.lit("")) == name)
     named = rows.withColumns(
         {
-            "_id": _number(F.col("taxid")),
-            "_parent": _number(F.col("parent")),
+            "_id": whole_number(F.col("taxid")),
+            "_parent": whole_number(F.col("parent")),
             "_fields": F.concat_ws(",", *[F.coalesce(name, F.lit("")) for name in TREE.names]),
         }
     )
@@ -178,7 +174,7 @@ def scan_names(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
     A line without four fields, or without a number as taxid, has a reason and no values.
     """
-    parts = _scan_dump(spark, paths, 4).withColumn("_id", _number(F.get("_f", F.lit(0))))
+    parts = _scan_dump(spark, paths, 4).withColumn("_id", whole_number(F.get("_f", F.lit(0))))
     reason = F.when(~F.col("_whole"), WRONG_COLUMNS).when(F.col("_id").isNull(), BAD_TAXID)
     judged = parts.withColumn("reject_reason", reason)
     good = F.col("reject_reason").isNull()
@@ -199,7 +195,7 @@ def scan_nodes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     parent, has a reason and no values.
     """
     parts = _scan_dump(spark, paths, 3).withColumns(
-        {"_id": _number(F.get("_f", F.lit(0))), "_parent": _number(F.get("_f", F.lit(2)))}
+        {"_id": whole_number(F.get("_f", F.lit(0))), "_parent": whole_number(F.get("_f", F.lit(2)))}
     )
     reason = (
         F.when(~F.col("_whole"), WRONG_COLUMNS)
@@ -282,7 +278,7 @@ def scan_hash_lines(lines: DataFrame, sep: str = "\t", headers: bool = False) ->
     text = F.col(lines.columns[0])
     parts = lines.select(text.alias("line"), F.split(chomp(text), re.escape(sep)).alias("_f"))
     fields = [F.get("_f", F.lit(i)) for i in range(3)]
-    header = (fields[0] == HEADER_WORD) & _number(fields[2]).isNull()
+    header = (fields[0] == HEADER_WORD) & whole_number(fields[2]).isNull()
     reason = F.when(F.size("_f") < 4, WRONG_COLUMNS)
     judged = _without_headers(parts, F.coalesce(header, F.lit(False)), reason, headers)
     good = F.col("reject_reason").isNull()
