@@ -20,7 +20,7 @@ from ..schemas import (
     UNKNOWN_NAME,
     UNRESOLVED,
 )
-from .climb import Stretch, climb, prepared
+from .climb import Stretch, climb, node_parts, prepared
 from .intervals import number, spread
 from .joins import first_k, has_hot_key, lookup, spread_lookup
 from .staging import counted, derived, part_of, sized, stage, within_broadcast
@@ -342,32 +342,61 @@ def descendant_accessions(
 ) -> DataFrame:
     """All accessions mapped to each distinct key or to anything below it: taxid, acc_ver.
 
-    The map is read once. Copies of a row go before lists are taken apart, so only
-    accessions with several taxids can give a pair twice, and only those are compared.
+    A climb gives every node the keys above it, so neither ranges nor pairs of nodes are written out.
+    The map is read once. Only accessions with several taxids can give a pair twice, and only
+    those are compared.
     """
-    wanted = stage(keys.select("taxid").distinct())
-    below = descendants(wanted, tree).unionByName(
-        wanted.select("taxid", F.col("taxid").alias("descendant"))
-    )
-    # One row per node; its list is no longer than its chain is deep.
-    owners = stage(
-        below.groupBy(F.col("descendant").alias("_id")).agg(F.collect_set("taxid").alias("owners"))
-    )
-    mapped = acc_map.select("acc_ver", F.col("taxid").alias("_mapped")).distinct()
-    per_key = mapped.groupBy("acc_ver").agg(
-        F.min("_mapped").alias("_mapped"), F.max("_mapped").alias("_other")
+    above = owners(keys, as_taxonomy(tree))
+    several = F.count_if(~F.col("_mapped").eqNullSafe(F.col("_other")))
+    mapped = acc_map.select("acc_ver", F.col("taxid").alias("_mapped"))
+    per_key = stage(
+        mapped.groupBy("acc_ver").agg(F.min("_mapped").alias("_mapped"), F.max("_mapped").alias("_other")),
+        several=several,
     )
-    per_key = stage(per_key)
-    single = per_key.where(F.col("_mapped").eqNullSafe(F.col("_other"))).select("acc_ver", "_mapped")
-    several = per_key.where(~F.col("_mapped").eqNullSafe(F.col("_other"))).select("acc_ver")
+    is_single = F.col("_mapped").eqNullSafe(F.col("_other"))
+    single = derived(per_key.where(is_single).select("acc_ver", "_mapped"), per_key)
 
     def owned(rows: DataFrame) -> DataFrame:
-        found = lookup(rows, owners, "_mapped", "_id", "inner", staged=True)
+        found = lookup(rows, above, "_mapped", "_id", "inner", staged=True)
         return found.select(F.explode("owners").alias("taxid"), "acc_ver")
 
-    if several.isEmpty():
+    if not counted(per_key).measures["several"]:
         return owned(single)
-    return owned(single).unionByName(owned(mapped.join(several, "acc_ver", "left_semi")).distinct())
+    again = stage(mapped.join(per_key.where(~is_single).select("acc_ver"), "acc_ver", "left_semi").distinct())
+    return owned(single).unionByName(owned(again).distinct())
+
+
+def owners(keys: DataFrame, tree: Taxonomy) -> DataFrame:
+    """Ids with the distinct keys that are themselves or above them: _id, owners; ids without any may be left out.
+
+    Keys that the tree does not know own themselves and what breaks off below them. A list is no longer
+    than a chain has keys; nodes that are nobody's parent get theirs by one join at the end.
+    """
+    everything = tree.everything
+    wanted = keys.select(F.col("taxid").alias("_key")).where("_key is not null").distinct()
+    # Both sides have one row per id. Ids missing from the tree stand as tops of their own.
+    known = F.coalesce("known", F.lit(False))
+    flagged = everything.select("taxid", "parent", "is_parent", "known").join(
+        wanted, F.col("taxid") == F.col("_key"), "full_outer"
+    )
+    taxid = F.coalesce("taxid", "_key")
+    nodes = stage(
+        flagged.select(
+            taxid.alias("taxid"),
+            F.when(known, F.col("parent")).otherwise(taxid).alias("parent"),
+            F.coalesce("is_parent", F.lit(False)).alias("is_parent"),
+            F.lit(True).alias("known"),
+            F.col("_key").isNotNull().alias("wanted"),
+        ),
+        parts=node_parts(),
+    )
+    none = F.array().cast("array<bigint>")
+    along = Stretch(
+        {"owners": F.when(F.col("wanted"), F.array("taxid")).otherwise(none)},
+        {"owners": F.array_union("owners", F.coalesce(F.col("_owners"), none))},
+    )
+    closed = climb(nodes, along)
+    return derived(closed.where(F.size("owners") > 0).select(F.col("taxid").alias("_id"), "owners"), closed)
 
 
 def nth_parent(keys: DataFrame, tree: DataFrame | Taxonomy, n: int) -> DataFrame:
