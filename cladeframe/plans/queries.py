@@ -167,11 +167,12 @@ def nodes_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of accession files, tree files, dumps and hash input by verdict, each file scanned once."""
     path = _dump_files(spark, sf_dir)
+    # Places in files (path, block, number) are for telling first from later rows; verdicts need none.
     settled = {
         "accessions": cf.settle(cf.scan_accession_map(spark, _accession_files(spark, sf_dir), headers=True)),
         "tree": cf.settle(cf.scan_tree(spark, _tree_files(spark, sf_dir))),
-        "names": cf.settle(cf.scan_names(spark, _dump(path, "names"))),
-        "nodes": cf.settle(cf.scan_nodes(spark, _dump(path, "nodes"))),
+        "names": cf.settle(cf.scan_names(spark, _dump(path, "names")).drop("position")),
+        "nodes": cf.settle(cf.scan_nodes(spark, _dump(path, "nodes")).drop("position")),
         "hashes": cf.settle(cf.scan_hash_lines(_hash_lines(spark, sf_dir), headers=True)),
     }
     out = None

@@ -52,3 +52,13 @@ def test_settle_measures_no_widths(spark, tmp_path, monkeypatch):
     assert rows(both.kept) == [("A", "A.1", 5, 1)]
     assert rows(both.rejects) == [("A\tA.1\tfive\t1", "bad_taxid"), ("B", "wrong_columns")]
     assert (both.n_kept, both.n_rejects, both.n_headers) == (1, 2, 1)
+
+
+def test_verdicts_store_no_places(spark, monkeypatch):
+    """Places in files are wide and nobody asks for them there."""
+    from cladeframe.plans import queries
+
+    columns, plain = [], cf.settle
+    monkeypatch.setattr(cf, "settle", lambda scanned: columns.append(scanned.columns) or plain(scanned))
+    queries.line_verdicts(spark, "/root/testdata/sf0.001")
+    assert len(columns) == 5 and not any("position" in names for names in columns)
